@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabula.llm import simhash
+from tabula.llm import mixing, simhash
 from tabula.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,50 @@ def _query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 @_query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixture.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op2_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15))::BIGINT AS place
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight
+  FROM sized GROUP BY source),
+filled AS (
+  SELECT *, 2.0 * source_size AS most,
+         row_number() OVER (ORDER BY 2.0 * source_size / weight, source) AS k,
+         coalesce(sum(2.0 * source_size) OVER (ORDER BY 2.0 * source_size / weight, source
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+         sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source
+                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM sources),
+level AS (
+  SELECT CAST((1.5 * (SELECT sum(source_size) FROM sources) - used) / open AS DOUBLE) AS level
+  FROM filled WHERE most >= weight * ((1.5 * (SELECT sum(source_size) FROM sources) - used) / open)
+  ORDER BY k LIMIT 1),
+targets AS (
+  SELECT source, source_size, CAST(least(most, weight * coalesce(level, 'Infinity'::DOUBLE)) AS DOUBLE) AS target
+  FROM filled LEFT JOIN level ON true),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS times,
+         target - source_size * CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS rest
+  FROM targets),
+placed AS (
+  SELECT s.doc_id, s.size, b.source_size, b.target, b.times, b.rest,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.place
+             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         sum(s.size) OVER (PARTITION BY s.source, s.place) AS own
+  FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * (times + CASE WHEN rest > 0 AND (upto <= rest OR (upto - own <= rest
+            AND rest - (upto - own) > upto - rest)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM placed
+"""
