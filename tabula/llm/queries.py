@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabula.llm import mixing, simhash
+from tabula.llm import mixing, quality, simhash
 from tabula.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
             AND rest - (upto - own) > upto - rest)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM placed
 """
+
+
+@_query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
