@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabula.llm import decontaminate, language, mixing, quality, simhash, toxicity
+from tabula.llm import decontaminate, language, licenses, mixing, quality, sharding, simhash, toxicity
 from tabula.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,46 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = sharding.shard(table(spark, sf_dir, "documents"))
+    return stored.select("doc_id", "shard", "version", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@_query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _sql_rows(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in row) + ")" for row in rows)
+
+
+ORACLE_SQL["op4_licenses"] = (
+    r"""
+WITH bodies(license, body) AS (VALUES """
+    + _sql_rows(licenses.TEMPLATES)
+    + r"""),
+template_words AS (
+  SELECT license, string_split(trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM bodies),
+templates AS (
+  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t
+  FROM template_words),
+cut AS (
+  SELECT doc_id, unnest(list_concat(string_split(text, chr(10)),
+      list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n[ \t\r\n]*'), lambda p: contains(p, chr(10))))) AS unit
+  FROM documents),
+words AS (
+  SELECT doc_id, row_number() OVER () AS u,
+         string_split(trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM cut),
+grams AS (
+  SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM words WHERE len(w) >= 2),
+compared AS (
+  SELECT doc_id, u, license, 2.0 * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice FROM grams, templates)
+SELECT doc_id, license, CAST(round(max(dice), 6) AS DOUBLE) AS dice, count(DISTINCT u) AS units
+FROM compared WHERE dice >= 0.8 GROUP BY doc_id, license
+"""
+)
