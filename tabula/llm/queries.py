@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.llm import decontaminate, language, licenses, mixing, quality, sharding, simhash, topk, toxicity
+from tabula.llm import decontaminate, language, licenses, mixing, quality, sharding, simhash, topk, toxicity, urls
 from tabula.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,61 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@_query
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is the quality of the document that the last number of its path names."""
+    pages = table(spark, sf_dir, "pages")
+    number = F.regexp_extract(urls.url_path(F.col("url")), r"(\d{1,18})\D*$", 1).try_cast("bigint")
+    quality_of = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("number"), F.col("quality").alias("good"))
+    labels = pages.select("page_id", number.alias("number")).join(quality_of, "number").select("page_id", "good")
+    return urls.judge(pages, labels)
+
+
+def _template_sql() -> str:
+    levels = []
+    for n in range(urls.DEPTH):
+        levels.append(f"""
+b{n} AS (SELECT host, template, coalesce(segments[{n + 1}], '') AS segment, count(*) AS pages, count(good) AS labelled,
+    coalesce(sum(good), 0) AS good FROM p{n} GROUP BY ALL),
+t{n} AS (SELECT host, template, count(*) FILTER (segment <> '') AS kinds, sum(pages) AS all_pages,
+    sum(labelled) AS all_labelled, sum(good) AS all_good FROM b{n} GROUP BY ALL),
+j{n} AS (SELECT host, template, segment, CASE WHEN segment = '' THEN ''
+    WHEN (kinds >= {urls.VARIABLE_AT} AND kinds >= {urls.VARIABLE_SHARE} * all_pages)
+      OR (kinds > 1 AND coalesce(abs(good / nullif(labelled, 0) - all_good / nullif(all_labelled, 0))
+          <= {urls.SIMILAR_Z} * sqrt((all_good / nullif(all_labelled, 0)) * (1 - all_good / nullif(all_labelled, 0))
+             / greatest(labelled, 1)) + 1e-12, true)) THEN '*' ELSE segment END AS token
+    FROM b{n} JOIN t{n} USING (host, template)),
+p{n + 1} AS (SELECT page_id, host, path, segments, good,
+    CASE WHEN token = '' THEN template ELSE template || '/' || token END AS template
+    FROM p{n} JOIN j{n} USING (host, template) WHERE j{n}.segment = coalesce(segments[{n + 1}], '')),""")
+    rule = "CASE " + " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}|{v}'"
+        for h, p, v in sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
+    ) + " END"
+    return rf"""
+WITH address AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+known AS (
+  SELECT page_id, min(quality) AS good FROM address
+  JOIN labels ON doc_id = TRY_CAST(regexp_extract(path, '(\d{{1,18}})\D*$', 1) AS BIGINT) GROUP BY page_id),
+p0 AS (
+  SELECT a.page_id, host, path, list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, good, '' AS template
+  FROM address a LEFT JOIN known USING (page_id)),
+{"".join(levels)}
+overall AS (SELECT coalesce(avg(good), 1.0) AS overall FROM p0),
+purity AS (
+  SELECT host, template, (coalesce(sum(good), 0) + {urls.PRIOR_PAGES} * any_value(overall)) / (count(good) + {urls.PRIOR_PAGES})
+    AS purity FROM p{urls.DEPTH}, overall GROUP BY host, template),
+ruled AS (SELECT page_id, host, path, template, {rule} AS rule FROM p{urls.DEPTH})
+SELECT page_id, host, path, split_part(rule, '|', 1) AS rule,
+  coalesce(split_part(rule, '|', 2), CASE WHEN purity < {urls.LEAST_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
+  template, CAST(round(purity, 6) AS DOUBLE) AS purity
+FROM ruled JOIN purity USING (host, template)
+"""
+
+
+ORACLE_SQL["op5_urls"] = _template_sql()

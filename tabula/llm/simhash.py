@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabula.llm.shared import kept, small_batches
+from tabula.llm.shared import join_small, kept, small_batches
 from tabula.operators.components import linked_components
 
 #: Largest number of differing bits that links; the bands below are made for it.
@@ -147,13 +147,17 @@ def near_duplicates(
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group, and of rows with equal ids one.
+    """The rows of `docs` whose id is the smallest of its group, one row for each id.
 
-    Rows with a null id go: they cannot be told apart.
+    Rows with equal ids count as one document, which goes if any of its rows is a copy of a document with a smaller
+    id. Rows without an id stay. The ids that go are broadcast where they were counted to be few; else texts are
+    shuffled by id.
     """
-    groups = kept(near_duplicates(docs, doc_id, text, words), "simhash-groups")
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    first = kept(first.select(F.col("doc_id").alias("_keep"), "n"), "simhash-first")
-    staying = docs.join(first.select("_keep"), F.col(doc_id).cast("long") == F.col("_keep"), "left_semi")
-    repeated = not first.filter("n > 1").isEmpty()
-    return staying.dropDuplicates([doc_id]) if repeated else staying
+    groups = kept(near_duplicates(docs, doc_id, text, words), "simhash-groups").filter(F.col("doc_id").isNotNull())
+    going = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    staying = join_small(docs, going, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti", going.count())
+    repeated = not groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if not repeated:
+        return staying
+    single = staying.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+    return single.unionByName(staying.filter(F.col(doc_id).isNull()))
