@@ -304,6 +304,17 @@ def contamination(
     return out
 
 
+def _marker(held):
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            marks = np.zeros(len(texts), dtype=bool)
+            for d, *_ in held.value.matches(texts.to_pylist()):
+                marks[d] = True
+            yield pa.array(marks)
+
+    return F.arrow_udf(found, "boolean")
+
+
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -312,13 +323,5 @@ def decontaminated(
     clean = docs
     for searcher in searchers(docs.select(F.col(text).alias("text")), benchmark, item_id, item_text):
         held = docs.sparkSession.sparkContext.broadcast(searcher)
-
-        def found(batches: Iterator[pa.Array], held=held) -> Iterator[pa.Array]:
-            for texts in batches:
-                marks = np.zeros(len(texts), dtype=bool)
-                for d, *_ in held.value.matches(texts.to_pylist()):
-                    marks[d] = True
-                yield pa.array(marks)
-
-        clean = clean.filter(~F.arrow_udf(found, "boolean")(F.col(text).cast("string")))
+        clean = clean.filter(~_marker(held)(F.col(text).cast("string")))
     return clean
