@@ -41,5 +41,5 @@ def map_batches(
 
 def batch_count(df: DataFrame, rows: int = BATCH_ROWS) -> int:
     """How many batches map_batches makes of `df` as it is partitioned now."""
-    counted = map_batches(df, lambda b: pa.RecordBatch.from_pydict({"n": [1]}), "n int", rows)
+    counted = map_batches(df, lambda b: pa.RecordBatch.from_pydict({"n": [1]}), "n long", rows)
     return counted.count()
