@@ -47,7 +47,17 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     numbered = placed.join(F.broadcast(starts), part == F.col("_part"))
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.withColumn(name, F.col("_start") + place).drop("_at", "_part", "_start")
+    out = numbered.withColumn(name, F.col("_start") + place).drop("_at", "_part", "_start")
+    return out.withMetadata(name, {"dense": True}) if name == ROW else out
+
+
+def is_dense(df: DataFrame) -> bool:
+    """Whether `_row` counts from 0 without gaps. Only a row order that number_rows made is looked at: filters keep its
+    mark but leave gaps."""
+    if ROW not in df.columns or not (df.schema[ROW].metadata or {}).get("dense"):
+        return False
+    row = df.agg(F.count(ROW).alias("n"), F.min(ROW).alias("low"), F.max(ROW).alias("high")).first()
+    return row["n"] == 0 or (row["low"] == 0 and row["high"] == row["n"] - 1)
 
 
 def sort_table(df: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabula.operators.ordering import ROW, number_rows
+from tabula.operators.ordering import ROW, is_dense, number_rows
 from tabula.plans.query import clean
 from tabula.session import cut
 from tabula.types import codec_of
@@ -29,16 +29,23 @@ def _order(df: DataFrame, order: Sequence[Column] | None) -> list[Column]:
     return [F.col(ROW).asc()]
 
 
+def _numbered(df: DataFrame, order: Sequence[Column] | None) -> DataFrame:
+    """`df` with `_n`, its place from 0; a dense row order is taken as it is."""
+    if not order and is_dense(df):
+        return df.withColumn("_n", F.col(ROW))
+    return number_rows(df, _order(df, order), "_n")
+
+
 def row_number(df: DataFrame, out: str = "row_number", order: Sequence[Column] | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Consecutive numbers from 1."""
-    order = _order(df, order)
+    given, order = order, _order(df, order)
     if partition_by:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order)).cast("long"))
-    return number_rows(df, order, out).withColumn(out, F.col(out) + 1)
+    return _numbered(df, given).withColumn(out, F.col("_n") + 1).drop("_n")
 
 
 def _runs(df: DataFrame, name: str, out: str, dense: bool, order: Sequence[Column] | None, partition_by: Sequence[str], block: int) -> DataFrame:
-    order = _order(df, order)
+    given, order = order, _order(df, order)
     if partition_by:
         w = Window.partitionBy(*partition_by).orderBy(*order)
         df = df.withColumn("_k", clean(df, name)).withColumn("_n", F.row_number().over(w).cast("long") - 1)
@@ -46,7 +53,7 @@ def _runs(df: DataFrame, name: str, out: str, dense: bool, order: Sequence[Colum
         upto = w.rowsBetween(Window.unboundedPreceding, 0)
         rank = F.max(F.when(F.col("_new"), F.col("_n"))).over(upto) + 1
         return df.withColumn(out, F.sum(F.col("_new").cast("long")).over(upto) if dense else rank).drop("_k", "_n", "_new")
-    numbered = number_rows(df, order, "_n").withColumn("_k", clean(df, name))
+    numbered = _numbered(df, given).withColumn("_k", clean(df, name))
     last = F.col("_n") % block == block - 1
     own = F.floor(F.col("_n") / block).cast("long")
     spread = numbered.withColumn("_b", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
@@ -89,7 +96,7 @@ def _shift(df: DataFrame, name: str, offset: int, default: Any, out: str, back:
     found = codec_of(schema_field)
     if default is not None and found is not None and not isinstance(default, (int, float)):
         default = found.encode(default)
-    order = _order(df, order)
+    given, order = order, _order(df, order)
     value = clean(df, name)
     fallback = F.lit(default).cast(schema_field.dataType)
     metadata = schema_field.metadata or {}
@@ -97,7 +104,7 @@ def _shift(df: DataFrame, name: str, offset: int, default: Any, out: str, back:
         w = Window.partitionBy(*partition_by).orderBy(*order)
         moved = (F.lag if back else F.lead)(value, offset, default).over(w).cast(schema_field.dataType)
         return df.withColumn(out, moved).withMetadata(out, metadata)
-    numbered = number_rows(df, order, "_n").withColumn("_v", value)
+    numbered = _numbered(df, given).withColumn("_v", value)
     own = F.floor(F.col("_n") / block).cast("long")
     reach = F.floor((F.col("_n") + (offset if back else -offset)) / block).cast("long")
     blocks = F.sequence(own, reach) if back else F.reverse(F.sequence(reach, own))
