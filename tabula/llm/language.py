@@ -75,16 +75,33 @@ class LanguageModel:
         return self.names[best], float(p[best])
 
 
+class SparseRows:
+    """Vectors kept by their non-zero features, made dense a few at a time."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], width: int) -> None:
+        self.vectors, self.width = vectors, width
+
+    def __len__(self) -> int:
+        return len(self.vectors)
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), self.width), dtype=np.float32)
+        for n, row in enumerate(rows):
+            at, value = self.vectors[row]
+            out[n, at] = value
+        return out
+
+
 def train_ftrl(
-    x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 6, batch: int = 16,
+    x: SparseRows, y: np.ndarray, classes: int, rows: np.ndarray | None = None, epochs: int = 6, batch: int = 16,
     alpha: float = 0.5, beta: float = 1.0, lasso: float = 0.02, ridge: float = 0.01, seed: int = 0,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """FTRL-proximal over small batches: weights (features x classes), most of them zero, and unpenalised biases."""
+    """FTRL-proximal over small batches of `rows`: weights (features x classes), most of them zero, and unpenalised
+    biases."""
     rng = np.random.default_rng(seed)
-    z, n = (np.zeros((x.shape[1] + 1, classes)) for _ in range(2))
-    one = np.ones((len(x), 1), dtype=x.dtype)
-    x = np.hstack([x, one])
-    l1 = np.full((x.shape[1], 1), lasso)
+    rows = np.arange(len(x)) if rows is None else rows
+    z, n = (np.zeros((x.width + 1, classes)) for _ in range(2))
+    l1 = np.full((x.width + 1, 1), lasso)
     l1[-1] = 0.0
 
     def solve() -> np.ndarray:
@@ -92,14 +109,14 @@ def train_ftrl(
 
     w = solve()
     for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-            logits = x[rows] @ w
+        for part in np.array_split(rng.permutation(rows), max(1, len(rows) // batch)):
+            dense = np.hstack([x.dense(part), np.ones((len(part), 1), dtype=np.float32)])
+            logits = dense @ w
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            g = x[rows].T @ p / len(rows)
-            step = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
-            z += g - step * w
+            p[np.arange(len(part)), y[part]] -= 1
+            g = dense.T @ p / len(part)
+            z += g - (np.sqrt(n + g * g) - np.sqrt(n)) / alpha * w
             n += g * g
             w = solve()
     return w[:-1], w[-1]
@@ -171,15 +188,19 @@ def fit(
     names = sorted({lang for _, lang, _ in found})
     used = np.flatnonzero(frequency >= min(3, n))
     model = LanguageModel(names, used, np.log((1 + n) / (1 + frequency[used])) + 1, np.zeros((0, 0)), np.zeros(0))
-    x, y = np.zeros((len(found), len(used)), dtype=np.float32), np.zeros(len(found), dtype=np.int64)
+    vectors, y = [], np.zeros(len(found), dtype=np.int64)
     for row, (_, lang, packed) in enumerate(found):
         size, counts = len(packed) // 6, np.zeros(FEATURES)
         counts[np.frombuffer(packed[: 2 * size], "<u2")] = np.frombuffer(packed[2 * size :], "<u4")
-        x[row], y[row] = model.vector(counts), names.index(lang)
-    tune = np.arange(len(x)) % 5 == 4
-    model.weights, model.bias = train_ftrl(x[~tune], y[~tune], len(names))
-    if tune.any():
-        model.temperature = fit_temperature(x[tune] @ model.weights + model.bias, y[tune])
+        vector = model.vector(counts)
+        at = np.flatnonzero(vector)
+        vectors.append((at.astype(np.int32), vector[at].astype(np.float32)))
+        y[row] = names.index(lang)
+    x, fifth = SparseRows(vectors, len(used)), np.arange(len(found)) % 5 == 4
+    model.weights, model.bias = train_ftrl(x, y, len(names), np.flatnonzero(~fifth))
+    if fifth.any():
+        parts = np.array_split(np.flatnonzero(fifth), -(-fifth.sum() // 64))
+        model.temperature = fit_temperature(np.concatenate([x.dense(p) @ model.weights + model.bias for p in parts]), y[fifth])
     return model
 
 

@@ -1,10 +1,10 @@
 """Licence scans: lines and paragraphs compared with licence templates by the Dice coefficient of their word bigrams.
 
 Texts and templates are normalised to lower-case words of letters and digits. Two sets of bigrams of sizes a and b can
-reach a Dice coefficient t only if each is at least t / (2 - t) of the other, so sizes select the templates that a unit
-is compared with; and only if as large a part of the unit's bigrams occurs in templates at all, which drops prose
-before any comparison. Everything runs in DataFrame expressions; documents do not move until the few matches are
-gathered.
+reach a Dice coefficient t only if they share t / (2 - t) of each, so sizes select the templates that a unit is compared
+with. For the same reason a match has at least one of a few telling words or bigrams of its template, those that stand
+in more of its bigrams than a match may lack: texts and units without any of them are dropped before they are
+normalised. Everything runs in DataFrame expressions; documents do not move until the few matches are gathered.
 """
 
 from __future__ import annotations
@@ -46,14 +46,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
                 "to this work."),
     ("all-rights-reserved", "All rights reserved."),
 )
-#: Least Dice coefficient of a match; most distinct bigrams that a list of templates may have.
-DICE, MOST_BIGRAMS = 0.8, 200_000
+#: Least Dice coefficient of a match; most templates of a list.
+DICE, MOST_TEMPLATES = 0.8, 2000
 
 
 def normal_words(text: Column) -> Column:
     """The words of a text in lower case, without punctuation."""
     plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.when(text.isNull() | (plain == ""), F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
 def bigrams(words: Column) -> Column:
@@ -69,6 +69,36 @@ def units(text: Column) -> Column:
     return F.concat(lines, paragraphs)
 
 
+#: Shorter words are too common to tell anything alone.
+TELLING_LETTERS = 6
+
+
+def telling_signs(grams: Sequence[str], ratio: float) -> list[str]:
+    """Words of a template, the longest first, and where these are too short its bigrams, until they stand in more of
+    its bigrams than a match may lack: any match contains one of them."""
+    pairs = [g.split(" ") for g in grams]
+    words = sorted({w for p in pairs for w in p if len(w) >= TELLING_LETTERS}, key=lambda w: (-len(w), w))
+    open_, chosen = set(range(len(grams))), []
+    for sign in [*words, *grams]:
+        if len(grams) - len(open_) > (1 - ratio) * len(grams) + 1e-9:
+            break
+        covered = {n for n in open_ if sign == grams[n] or sign in pairs[n]}
+        if covered:
+            chosen.append(sign)
+            open_ -= covered
+    return chosen
+
+
+def _has_any(plain: Column, signs: Sequence[str]) -> Column:
+    """Whether a lower-case text contains one of the signs; the words of a bigram may stand apart by punctuation."""
+    found = F.lit(False)
+    for sign in signs:
+        if " " not in sign:
+            found = found | F.contains(plain, F.lit(sign))
+    pairs = [r"[^\p{L}\p{N}]+".join(s.split(" ")) for s in signs if " " in s]
+    return found | plain.rlike("|".join(pairs)) if pairs else found
+
+
 def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, dice: float = DICE
 ) -> DataFrame:
@@ -81,11 +111,10 @@ def scan(
     spark = docs.sparkSession
     given = spark.createDataFrame([(n, name, body) for n, (name, body) in enumerate(templates)], "t long, license string, body string")
     known = given.select("t", "license", bigrams(normal_words(F.col("body"))).alias("grams")).collect()
+    if len(known) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
     if any(not r["grams"] for r in known):
         raise ValueError("a template needs two words")
-    vocabulary = sorted({g for r in known for g in r["grams"]})
-    if len(vocabulary) > MOST_BIGRAMS:
-        raise ValueError(f"templates have more than {MOST_BIGRAMS} bigrams")
     ratio = dice / (2 - dice)
     fitting = [
         (size, r["t"], r["license"], r["grams"])
@@ -95,11 +124,13 @@ def scan(
     ]
     candidates = spark.createDataFrame(fitting, "size int, t long, license string, template array<string>")
     sizes = sorted({f[0] for f in fitting})
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(units(F.col(text))).alias("unit", "body"))
-    worded = rows.select("doc_id", "unit", normal_words(F.col("body")).alias("words")).filter(F.size("words") > sizes[0])
-    paired = worded.select("doc_id", "unit", bigrams(F.col("words")).alias("grams")).withColumn("size", F.size("grams"))
-    shared = F.size(F.filter("grams", lambda g: g.isin(vocabulary)))
-    likely = paired.filter(F.col("size").between(sizes[0], sizes[-1])).filter(shared >= ratio * F.col("size") - 1e-9)
+    signs = sorted(set().union(*(telling_signs(r["grams"], ratio) for r in known)))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(F.lower(F.col(text)))).alias("plain"))
+    cut = rows.filter(_has_any(F.col("plain"), signs)).select("doc_id", F.posexplode(units(F.col("plain"))).alias("unit", "body"))
+    body = F.when(_has_any(F.col("body"), signs), F.col("body"))
+    worded = cut.select("doc_id", "unit", F.explode(F.array(normal_words(body))).alias("words")).filter(F.size("words") > sizes[0])
+    paired = worded.select("doc_id", "unit", F.explode(F.array(bigrams(F.col("words")))).alias("grams"))
+    likely = paired.withColumn("size", F.size("grams")).filter(F.col("size").between(sizes[0], sizes[-1]))
     both = F.size(F.array_intersect("grams", "template"))
     compared = likely.join(F.broadcast(candidates), "size").withColumn(
         "dice", 2.0 * both / (F.col("size") + F.size("template"))

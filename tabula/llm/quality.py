@@ -100,7 +100,11 @@ def describe(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     rows[:, 1] = chars / counts / 10
     for k in range(8):
         rows[:, 2 + k] = np.add.reduceat(_KIND[k][data].astype(np.int32), span[:-1]) / chars
-    rows[:, 10] = np.add.reduceat((data == 10).astype(np.int32), span[:-1]) / counts
+    breaks = np.flatnonzero(data == 10)
+    after = np.searchsorted(begins, breaks, side="right") - 1
+    breaks, after = breaks[after >= 0], after[after >= 0]
+    own = breaks < np.cumsum(lengths)[doc[after]] - 1
+    rows[:, 10] = np.bincount(number[after[own]], minlength=len(starts)) / counts
     rows[:, 11] = 1 - np.add.reduceat(seen.astype(np.int32), starts) / counts
     rows[:, 12] = commonest / counts
     rows[:, 13] = np.add.reduceat(stuck.astype(np.int32), starts) / counts

@@ -87,7 +87,7 @@ def block_search(
                 kth = np.partition(scores[:at].astype(np.float64), at - k)[at - k] if exact else -np.inf
         seen = ids[order[:at]]
         best = np.lexsort((seen, -scores[:at].astype(np.float64))) if exact else np.array(
-            sorted(range(at), key=lambda i: (-scores[i], seen[i])), dtype=np.int64
+            sorted(range(at), key=lambda i: (-_saturated(scores[i]), seen[i])), dtype=np.int64
         )
         top = best[:k]
         yield int(own), seen[top], np.array([_saturated(int(s)) for s in scores[top]], dtype=np.int64)
@@ -101,7 +101,8 @@ def search(
     Components x become floor(64 x) in doubles; the score is the integer inner product with every other row, ranks
     start at 1 and ties go to the smaller id. Null ids and vectors that are null or hold null or non-finite components
     take no part. Of rows with equal ids the smallest vector counts. Only vectors of equal length are compared; empty
-    ones score 0. Scores beyond 64 bits are the nearest 64-bit value. A query without other vectors has no rows. Other
+    ones score 0. Scores beyond 64 bits are the nearest 64-bit value,
+    also for the ranks. A query without other vectors has no rows. Other
     columns are not read.
     """
     spark = vectors.sparkSession
