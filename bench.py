@@ -20,6 +20,7 @@ REPEATS = 3
 HEADLINE = (
     "where_and", "group_five_aggregates", "group_fused_where", "group_many_keys", "pivot_sum", "sort_rownum", "rank_sorted",
     "lag_lead", "arith_f64", "graph_pagerank", "graph_components",
+    "graph_all_pagerank", "graph_all_components",
 )
 
 

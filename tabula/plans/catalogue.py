@@ -519,3 +519,70 @@ def graph_pagerank(spark, sf_dir):
 @query(None)
 def graph_dfs(spark, sf_dir):
     return graph.dfs(order_graph(spark, sf_dir), 19)
+
+
+# The same algorithms over every row: customers, orders and suppliers in one range of nodes, from customer to order and
+# from order to supplier
+
+ALL_SIZES = """(SELECT (SELECT max(o_custkey) + 1 FROM orders) AS c,
+  greatest((SELECT max(o_orderkey) + 1 FROM orders), (SELECT max(l_orderkey) + 1 FROM lineitem)) AS o,
+  (SELECT max(l_suppkey) + 1 FROM lineitem) AS s)"""
+ALL_EDGES = f"""(SELECT o_custkey AS src, c + o_orderkey AS dst FROM orders, {ALL_SIZES}
+  UNION SELECT c + l_orderkey, c + o + l_suppkey FROM lineitem, {ALL_SIZES})"""
+ALL_NODES = f"(SELECT unnest(range(CAST(c + o + s AS BIGINT))) AS node FROM {ALL_SIZES})"
+
+
+def whole_graph(spark, sf_dir) -> graph.Graph:
+    orders, lines = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    ends = orders.agg(F.max("o_custkey").alias("c"), F.max("o_orderkey").alias("o")).first()
+    more = lines.agg(F.max("l_orderkey").alias("o"), F.max("l_suppkey").alias("s")).first()
+    first_order = ends["c"] + 1
+    first_supplier = first_order + max(ends["o"], more["o"]) + 1
+    edges = (
+        orders.select(F.col("o_custkey").cast("long").alias("src"), (F.col("o_orderkey") + first_order).cast("long").alias("dst"))
+        .unionByName(lines.select(
+            (F.col("l_orderkey") + first_order).cast("long").alias("src"), (F.col("l_suppkey") + first_supplier).cast("long").alias("dst")
+        ))
+        .distinct().withColumn("weight", (1 + (F.col("src") * 31 + F.col("dst") * 17) % 7).cast("double"))
+    )
+    return graph.build_graph(edges, weight="weight", n_nodes=first_supplier + more["s"] + 1)
+
+
+def first_customer(spark, sf_dir) -> int:
+    return read(spark, sf_dir, "orders").agg(F.min("o_custkey")).first()[0]
+
+
+@query(f"SELECT node, coalesce(n, 0) AS degree FROM {ALL_NODES} LEFT JOIN (SELECT src, count(*) AS n FROM {ALL_EDGES} GROUP BY src) ON node = src")
+def graph_all_degree(spark, sf_dir):
+    return graph.degree(whole_graph(spark, sf_dir))
+
+
+@query(f"SELECT node, coalesce(n, 0) AS in_degree FROM {ALL_NODES} LEFT JOIN (SELECT dst, count(*) AS n FROM {ALL_EDGES} GROUP BY dst) ON node = dst")
+def graph_all_in_degree(spark, sf_dir):
+    return graph.in_degree(whole_graph(spark, sf_dir))
+
+
+@query(f"""SELECT dst AS target, CAST(1 + (src * 31 + dst * 17) % 7 AS DOUBLE) AS weight FROM {ALL_EDGES}
+  WHERE src = (SELECT min(o_custkey) FROM orders)""")
+def graph_all_neighbors(spark, sf_dir):
+    return graph.neighbors(whole_graph(spark, sf_dir), first_customer(spark, sf_dir)).select("target", "weight")
+
+
+@query(None)
+def graph_all_bfs(spark, sf_dir):
+    return graph.bfs(whole_graph(spark, sf_dir), first_customer(spark, sf_dir))
+
+
+@query(None)
+def graph_all_dijkstra(spark, sf_dir):
+    return graph.dijkstra(whole_graph(spark, sf_dir), first_customer(spark, sf_dir))
+
+
+@query(None)
+def graph_all_components(spark, sf_dir):
+    return graph.connected_components(whole_graph(spark, sf_dir))
+
+
+@query(None)
+def graph_all_pagerank(spark, sf_dir):
+    return doubles(graph.pagerank(whole_graph(spark, sf_dir), iters=5), "rank", digits=9)
