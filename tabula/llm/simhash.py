@@ -146,14 +146,14 @@ def near_duplicates(
     )
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group, one row for each id.
+def firsts(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its group in `found` (doc_id, component_id), one row for each id.
 
     Rows with equal ids count as one document, which goes if any of its rows is a copy of a document with a smaller
     id. Rows without an id stay. The ids that go are broadcast where they were counted to be few; else texts are
     shuffled by id.
     """
-    groups = kept(near_duplicates(docs, doc_id, text, words), "simhash-groups").filter(F.col("doc_id").isNotNull())
+    groups = kept(found, "simhash-groups").filter(F.col("doc_id").isNotNull())
     going = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     staying = join_small(docs, going, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti", going.count())
     repeated = not groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
@@ -161,3 +161,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
         return staying
     single = staying.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
     return single.unionByName(staying.filter(F.col(doc_id).isNull()))
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """The rows of `docs` that `firsts` leaves of the groups at a few differing bits."""
+    return firsts(docs, near_duplicates(docs, doc_id, text, words), doc_id)
