@@ -14,7 +14,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ from tabula.llm.shared import scratch
 
 #: Runs that a merge takes together, size of a merged file, size up to which a run is of the lowest tier.
 FAN_IN, TARGET_BYTES, LOWEST_BYTES = 4, 128 << 20, 1 << 20
-#: Arrivals that `shard` makes of a table of many files.
+#: Arrivals that `shard` makes of a table.
 ARRIVALS = 8
 
 
@@ -112,6 +112,9 @@ class ShardStore:
         number = self.manifest().next_run
         name = f"run-{number:06d}-{uuid.uuid4().hex[:12]}"
         df.write.parquet(f"{self.root}/data/{name}")
+        return self._commit_run(name, df.schema.json(), replaced)
+
+    def _commit_run(self, name: str, schema: str, replaced: tuple[Run, ...]) -> Run:
         while True:
             now = self.manifest()
             if not set(replaced) <= set(now.runs):
@@ -119,7 +122,7 @@ class ShardStore:
             run = self._written(now.next_run, name)
             left = tuple(r for r in now.runs if r not in replaced)
             try:
-                self.commit(Manifest(now.version + 1, now.next_run + 1, now.schema or df.schema.json(), (*left, run)))
+                self.commit(Manifest(now.version + 1, now.next_run + 1, now.schema or schema, (*left, run)))
                 return run
             except CommitConflict:
                 continue
@@ -128,6 +131,20 @@ class ShardStore:
         """One arrival: its partitions become small shards as they are."""
         return self._publish(df, ())
 
+    def adopt(self, folder: str, schema: str) -> Run:
+        """One arrival that is written already: its folder, given below the root, becomes a run."""
+        name = f"run-{self.manifest().next_run:06d}-{uuid.uuid4().hex[:12]}"
+        self._fs().mkdirs(self._path("data"))
+        if not self._fs().rename(self._path(folder), self._path("data", name)):
+            raise OSError(f"{folder} can't be moved")
+        return self._commit_run(name, schema, ())
+
+    def exists(self, folder: str) -> bool:
+        return self._fs().exists(self._path(folder))
+
+    def drop(self, folder: str) -> None:
+        self._fs().delete(self._path(folder), True)
+
     def read_runs(self, runs: tuple[Run, ...], schema: str) -> DataFrame:
         reader = self.spark.read.schema(T.StructType.fromJson(json.loads(schema)))
         return reader.parquet(*[f"{self.root}/{r.path}" for r in runs])
@@ -173,29 +190,34 @@ def _free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def _arrivals(docs: DataFrame, most: int) -> list[DataFrame]:
-    """The table as arrivals: groups of its files where it was read from Parquet files and nothing else was done."""
-    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
-    files = sorted(docs.inputFiles()) if plan == "LogicalRelation" else []
-    if len(files) < 2:
-        return [docs]
-    groups = [files[n::most] for n in range(min(most, len(files)))]
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*g) for g in groups]
+def _arrival(docs: DataFrame, many: int) -> Column:
+    """The arrival of a row, by a hash of its values: later ones are larger, in the proportion 1 : 3 : 5 and so on."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and f.dataType.typeName() != "variant"]
+    hashed = F.xxhash64(*plain) if plain else F.xxhash64(F.monotonically_increasing_id())
+    place = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return F.floor(F.sqrt(place) * many).cast("int")
 
 
 def shard(
     docs: DataFrame, root: str | None = None, arrivals: int = ARRIVALS, fan_in: int = FAN_IN, target_bytes: int = TARGET_BYTES
 ) -> DataFrame:
-    """Store `docs` below `root` (a new folder in the shared one) in up to `arrivals` arrivals, compacting after each,
-    and return the stored rows with `shard`, the run and part they lie in, and `version`, that of the manifest.
+    """Store `docs` below `root` (a new folder in the shared one) in `arrivals` arrivals, compacting after each, and
+    return the stored rows with `shard`, the run and part they lie in, and `version`, that of the manifest.
 
-    Every row is stored exactly as it is, nulls, long texts and repeated rows included; an empty table commits an empty
-    run. Where `docs` has columns named shard or version, the new ones get an underscore more.
+    The arrivals are written in one pass, whatever files the table has, and then taken in one by one. Every row is stored
+    exactly as it is, nulls, long texts and repeated rows included; an arrival without rows commits an empty run. Where `docs` has columns named shard or version, the new ones get an underscore more.
     """
     store = ShardStore(docs.sparkSession, root or scratch(docs.sparkSession, "shards"))
-    for arrival in _arrivals(docs, arrivals):
-        store.append(arrival)
+    name, aside = _free_name(docs, "arrival"), f"arriving-{uuid.uuid4().hex}"
+    docs.withColumn(name, _arrival(docs, arrivals)).write.partitionBy(name).parquet(f"{store.root}/{aside}")
+    for n in range(arrivals):
+        folder = f"{aside}/{name}={n}"
+        if store.exists(folder):
+            store.adopt(folder, docs.schema.json())
+        else:
+            store.append(docs.sparkSession.createDataFrame([], docs.schema))
         store.compact(fan_in, target_bytes)
+    store.drop(aside)
     stored, version = store.read(), store.manifest().version
     where = stored.metadataColumn("_metadata")["file_path"]
     name = F.concat(
