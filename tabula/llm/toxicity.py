@@ -32,18 +32,24 @@ PER_CLASS, TRAIN_WORDS = 4000, 600
 MINIBATCH, LEAST_STEPS = 128, 400
 #: Word scores that a task keeps.
 CACHE = 400_000
+#: Letters of a run that are scored as one word.
+PIECE = 60
 _WORD = re.compile(r"[^\W_]+")
 
 
 def subwords(word: str) -> list[int]:
     """Embedding numbers of a word: its n-grams, with marked ends."""
-    marked = f"<{word[:60]}>"
+    marked = f"<{word}>"
     parts = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
     return [crc32(p.encode()) & (BUCKETS - 1) for p in parts]
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """The runs of letters and digits; a run above PIECE letters as pieces that overlap by half and leave nothing out."""
+    found = _WORD.findall((text or "").lower())
+    if all(len(w) <= PIECE for w in found):
+        return found
+    return [w[at : at + PIECE] for w in found for at in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)]
 
 
 def worst_words(scores: np.ndarray) -> np.ndarray:
