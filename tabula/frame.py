@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabula.operators.ordering import ROW, number_rows
+from tabula.operators.ordering import ROW, densely_numbered, number_rows
 
 KINDS = {
     "i64": T.LongType(),
@@ -66,6 +69,24 @@ def table(spark: SparkSession, columns: Sequence[tuple[str, str, Iterable]], row
     return df if rows else df.drop(ROW)
 
 
+def array_column(spark: SparkSession, name: str, kind: str, values: np.ndarray | pa.Array) -> DataFrame:
+    """A one-column frame with row order from a numpy or Arrow array, which never becomes Python objects.
+
+    An Arrow null is null; NaN is null in an f64 column. Numbers are cast to the kind; one that does not fit is an error.
+    """
+    data = values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values)
+    kinds = {"i64": pa.int64(), "f64": pa.float64(), "bool": pa.bool_(), "sym": pa.string(), "str": pa.string()}
+    if kind not in kinds:
+        raise ValueError(f"unknown column kind {kind!r}")
+    data = pc.cast(data, kinds[kind])
+    if kind == "f64":
+        data = pc.if_else(pc.is_nan(data), pa.scalar(None, pa.float64()), data)
+    if kind == "bool":
+        data = pc.fill_null(data, False)
+    schema = T.StructType([field(name, kind), T.StructField(ROW, T.LongType(), False)])
+    return spark.createDataFrame(pa.table({name: data, ROW: pa.array(np.arange(len(data)))}), schema)
+
+
 def columns(df: DataFrame) -> list[str]:
     """The visible columns."""
     return [c for c in df.columns if c != ROW]
@@ -103,8 +124,9 @@ def column_by_idx(df: DataFrame, index: int) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, offset: int, length: int) -> DataFrame:
-    """Rows offset to offset + length - 1 of a frame with dense row numbers; the slice is numbered from 0."""
-    part = df.filter(F.col(ROW).between(offset, offset + length - 1))
+    """Rows offset to offset + length - 1 in the row order; the slice is numbered from 0. Row numbers with gaps are
+    made dense first."""
+    part = densely_numbered(df).filter(F.col(ROW).between(offset, offset + length - 1))
     return part.withColumn(ROW, F.col(ROW) - offset)
 
 

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabula.session import cut
+from tabula.session import drop_path, scratch, written
 
 
-def _signature(edges: DataFrame) -> tuple[int, int]:
-    """Row count and an order-free checksum of the edge set."""
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return row["n"], int(row["s"] or 0)
+def _signature() -> list[Column]:
+    """Row count and an order-free checksum of an edge set, taken while it is written."""
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")]
 
 
 def _star_round(edges: DataFrame) -> DataFrame:
@@ -30,24 +26,27 @@ def _star_round(edges: DataFrame) -> DataFrame:
 def linked_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every node that has an edge to another node; component is the smallest node reachable.
 
-    Self loops, repeated edges and edges with a null end are ignored. Every round writes its edges to the shared
-    checkpoint folder; the number of rounds grows with the logarithm of the longest path, and no neighbourhood is
-    ever gathered into one row.
+    Self loops, repeated edges and edges with a null end are ignored. Every round is one job that writes its edges to
+    the shared folder and deletes those of the round before; the number of rounds grows with the logarithm of the
+    longest path, and no neighbourhood is ever gathered into one row.
     """
+    spark = edges.sparkSession
     a, b = F.col(left), F.col(right)
-    current = cut(
+    given = (
         edges.filter(a.isNotNull() & b.isNotNull() & (a != b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
+        .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct()
     )
-    seen = _signature(current)
-    while seen[0]:
-        following = cut(_star_round(current))
-        now = _signature(following)
-        current, stable = following, now == seen
-        seen = now
-        if stable:
+    path = scratch(spark, "edges")
+    seen = written(given, path, *_signature())
+    current = spark.read.schema(given.schema).parquet(path)
+    while seen.get("n"):
+        following = scratch(spark, "edges")
+        now = written(_star_round(current), following, *_signature())
+        drop_path(spark, path)
+        path, current = following, spark.read.schema(given.schema).parquet(following)
+        if now == seen:
             break
+        seen = now
     stars = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.unionByName(roots)

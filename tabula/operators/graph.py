@@ -16,10 +16,10 @@ from tabula.operators.components import linked_components
 from tabula.operators.ordering import ROW
 from tabula.session import cut
 
-#: Edges up to which the one sequential algorithm, depth-first order, is run in one task.
+#: Edges within reach of the start up to which the one sequential algorithm, depth-first order, is run in one task.
 SEQUENTIAL_EDGES = 5_000_000
-#: Rounds of rank propagation between two checkpoints.
-RANK_ROUNDS = 4
+#: Rounds of rank propagation between two checkpoints, and rounds of a search after which its parts are made one again.
+RANK_ROUNDS, MERGE_ROUNDS = 4, 8
 
 
 class Graph:
@@ -103,8 +103,12 @@ def pagerank(graph: Graph, iters: int = 20, damping: float = 0.85) -> DataFrame:
     return ranks.select("node", "rank")
 
 
-def bfs(graph: Graph, start: int) -> DataFrame:
-    """(node, distance) in hops, null where a node is not reached; a start outside the graph reaches nothing."""
+def _reached(graph: Graph, start: int) -> DataFrame:
+    """(node, distance) in hops of the nodes that can be reached.
+
+    What one hop finds is written once; the parts are made one table every MERGE_ROUNDS hops, so that what a hop reads
+    stays a few tables however many hops there are.
+    """
     links = cut(graph.edges.select("src", "dst").distinct())
     seen = cut(graph.nodes().filter(F.col("node") == start).withColumn("distance", F.lit(0).cast("long")))
     edge, hops = seen, 0
@@ -113,20 +117,28 @@ def bfs(graph: Graph, start: int) -> DataFrame:
         reached = edge.join(links, edge["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
         edge = cut(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(hops).cast("long")))
         seen = seen.unionByName(edge)
-    return graph.nodes().join(seen, "node", "left")
+        if hops % MERGE_ROUNDS == 0:
+            seen = cut(seen)
+    return seen
+
+
+def bfs(graph: Graph, start: int) -> DataFrame:
+    """(node, distance) in hops, null where a node is not reached; a start outside the graph reaches nothing."""
+    return graph.nodes().join(_reached(graph, start), "node", "left")
 
 
 def dijkstra(graph: Graph, start: int) -> DataFrame:
     """(node, distance) of the shortest weighted paths, null where a node is not reached.
 
     Edges without weight weigh 1 in a graph without weights and lead nowhere in one with weights. Nodes whose distance
-    fell relax their edges until none falls; a negative cycle is an error after as many rounds as there are nodes.
+    fell relax their edges until none falls; a negative cycle is an error after as many rounds as there are nodes. A
+    round writes only the distances that fell; they are folded into one table every MERGE_ROUNDS rounds.
     """
     weighted = not graph.edges.filter(F.col("weight").isNotNull()).isEmpty()
     links = graph.edges.withColumn("weight", F.col("weight") if weighted else F.lit(1.0)).filter("weight IS NOT NULL")
     links = cut(links.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    best = cut(graph.nodes().filter(F.col("node") == start).withColumn("distance", F.lit(0.0)))
-    edge, rounds = best, 0
+    found = cut(graph.nodes().filter(F.col("node") == start).withColumn("distance", F.lit(0.0)))
+    edge, rounds = found, 0
     while not edge.isEmpty():
         if rounds > graph.n_nodes:
             raise ValueError("negative cycle")
@@ -134,12 +146,15 @@ def dijkstra(graph: Graph, start: int) -> DataFrame:
         offers = edge.join(links, edge["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(
             F.min(F.col("distance") + F.col("weight")).alias("offer")
         )
-        both = cut(best.join(offers, "node", "full").select(
-            "node", F.least("distance", "offer").alias("new"),
-            (F.col("offer").isNotNull() & (F.col("distance").isNull() | (F.col("offer") < F.col("distance")))).alias("fell"),
-        ))
-        best = both.select("node", F.col("new").alias("distance"))
-        edge = both.filter("fell").select("node", F.col("new").alias("distance"))
+        held = found.join(offers.select("node"), "node", "left_semi").groupBy("node").agg(F.min("distance").alias("distance"))
+        edge = cut(
+            offers.join(held, "node", "left").filter("distance IS NULL OR offer < distance")
+            .select("node", F.col("offer").alias("distance"))
+        )
+        found = found.unionByName(edge)
+        if rounds % MERGE_ROUNDS == 0:
+            found = cut(found.groupBy("node").agg(F.min("distance").alias("distance")))
+    best = found.groupBy("node").agg(F.min("distance").alias("distance"))
     return graph.nodes().join(best, "node", "left")
 
 
@@ -152,11 +167,15 @@ def connected_components(graph: Graph) -> DataFrame:
 def dfs(graph: Graph, start: int) -> DataFrame:
     """(node, order): preorder of a depth-first search that takes edges in insertion order, null where not reached.
 
-    The order is sequential by nature, so the component of `start` is searched in one task; beyond SEQUENTIAL_EDGES
-    edges this is an error.
+    The order is sequential by nature. A distributed search finds what can be reached from `start`, and only the edges
+    from there on go to one task; beyond SEQUENTIAL_EDGES of them this is an error.
     """
-    if graph.edges.limit(SEQUENTIAL_EDGES + 1).count() > SEQUENTIAL_EDGES:
-        raise ValueError(f"depth-first order needs a graph of at most {SEQUENTIAL_EDGES} edges")
+    if not 0 <= start < graph.n_nodes:
+        return graph.nodes().withColumn("order", F.lit(None).cast("long"))
+    within = _reached(graph, start).select(F.col("node").alias("src"))
+    edges = cut(graph.edges.select("src", "dst", "place").join(within, "src", "left_semi"))
+    if edges.limit(SEQUENTIAL_EDGES + 1).count() > SEQUENTIAL_EDGES:
+        raise ValueError(f"depth-first order needs at most {SEQUENTIAL_EDGES} edges within reach of the start")
 
     def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = pd.concat(list(parts))
@@ -172,13 +191,8 @@ def dfs(graph: Graph, start: int) -> DataFrame:
                 stack.append(iter(onward.get(node, ())))
         yield pd.DataFrame({"node": list(order), "order": list(order.values())}, dtype="int64")
 
-    anchor = graph.nodes().filter(F.col("node") == start).select(
-        F.lit(-1).cast("long").alias("src"), F.col("node").alias("dst"), F.lit(-1).cast("long").alias("place")
-    )
-    known = graph.edges.select("src", "dst", "place").unionByName(anchor)
-    found = known.coalesce(1).mapInPandas(search, "node long, order long") if 0 <= start < graph.n_nodes else (
-        graph.nodes().filter(F.lit(False)).withColumn("order", F.lit(0).cast("long"))
-    )
+    anchor = graph.spark.createDataFrame([(-1, start, -1)], "src long, dst long, place long")
+    found = edges.unionByName(anchor).repartition(1).mapInPandas(search, "node long, order long")
     return graph.nodes().join(found, "node", "left")
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabula.operators.ordering import ROW
+from tabula.operators.ordering import ROW, densely_numbered, running_before
 from tabula.plans.expr import Predicate
 
 BLOCK_ROWS = 1024
@@ -69,13 +69,12 @@ def selection_none(n_rows: int) -> Selection:
 
 def live_by_block(df: DataFrame, predicate: Predicate) -> DataFrame:
     """(block, rows, live, flag, before): counts of rows for which the predicate holds, for each block of BLOCK_ROWS
-    rows of a frame with dense row numbers, and how many live rows lie before the block."""
-    from pyspark.sql import Window
+    rows of a frame with a row order, and how many live rows lie before the block.
 
+    Row numbers with gaps are made dense first."""
     block = F.floor(F.col(ROW) / BLOCK_ROWS).cast("long").alias("block")
-    counts = df.groupBy(block).agg(
+    counts = densely_numbered(df).groupBy(block).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(predicate.compile(df.schema)).alias("live")
     )
     flag = F.when(F.col("live") == 0, DEAD).when(F.col("live") == F.col("rows"), LIVE).otherwise(MIXED)
-    before = F.sum("live").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select("block", "rows", "live", flag.alias("flag"), F.coalesce(before, F.lit(0)).alias("before"))
+    return running_before(counts, [F.col("block")], "live", "before").select("block", "rows", "live", flag.alias("flag"), "before")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.frame import slice_rows, with_rows
+from tabula import types
+from tabula.frame import array_column, col_idx, col_name, column, column_by_idx, ncols, nrows, slice_rows, table, with_rows
 from tabula.functions import elementwise as el
 from tabula.operators import batches, graph, ordering, reduce, selection, windows
 from tabula.plans.expr import c, either, every
+from tabula.plans.ordered import sort_plan, window_plan
 from tabula.plans.query import Query, avg, count, filter_rows, group_by, mask, max_, min_, parallel_group_by, pivot, select, sum_, where
-from tabula.session import shared_dir
+from tabula.session import scratch
 from tabula.sources import csvio, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,8 +117,6 @@ def where_truncated_literal(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate > TIMESTAMP '1997-01-01 00:00:00'")
 def date_filter(spark, sf_dir):
-    import datetime as dt
-
     test = c("l_shipdate") > dt.datetime(1997, 1, 1)
     return where(read(spark, sf_dir, "lineitem"), test).select("l_orderkey", "l_linenumber", "l_shipdate")
 
@@ -295,9 +297,9 @@ def gather_by_index(spark, sf_dir):
 
 @query("""SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity) AS rank, dense_rank() OVER (ORDER BY l_quantity) AS dense FROM lineitem""")
 def rank_sorted(spark, sf_dir):
-    sorted_lines = ordering.sort_table(lines_in_order(spark, sf_dir), [("l_quantity", "asc")])
-    ranked = windows.dense_rank(windows.rank(sorted_lines, "l_quantity", block=10_000), "l_quantity", "dense", block=10_000)
-    return ranked.select("l_orderkey", "l_linenumber", "rank", "dense")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    order = [F.col("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return windows.ranks(lines, "l_quantity", "rank", "dense", order).select("l_orderkey", "l_linenumber", "rank", "dense")
 
 
 @query(f"""WITH runs AS (SELECT event_id, row_number() OVER w AS n,
@@ -305,8 +307,8 @@ def rank_sorted(spark, sf_dir):
   SELECT event_id, max(CASE WHEN new THEN n END) OVER (ORDER BY n) AS rank,
     CAST(sum(CAST(new AS BIGINT)) OVER (ORDER BY n) AS BIGINT) AS dense FROM runs""")
 def rank_runs(spark, sf_dir):
-    ranked = windows.rank(events_in_order(spark, sf_dir), "kind", block=1000)
-    return windows.dense_rank(ranked, "kind", "dense", block=1000).select("event_id", "rank", "dense")
+    ranked = windows.rank(events_in_order(spark, sf_dir), "kind")
+    return windows.dense_rank(ranked, "kind", "dense").select("event_id", "rank", "dense")
 
 
 @query("""SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) AS rank FROM lineitem""")
@@ -319,8 +321,8 @@ def rank_partitioned(spark, sf_dir):
 @query(f"""SELECT event_id, lag(user_id, 2, -1) OVER w AS back, lead(user_id, 1) OVER w AS ahead
   FROM {HOLED} WINDOW w AS (ORDER BY event_id)""")
 def lag_lead(spark, sf_dir):
-    moved = windows.lag(events_in_order(spark, sf_dir), "user_id", 2, -1, "back", block=1000)
-    return windows.lead(moved, "user_id", 1, None, "ahead", block=1000).select("event_id", "back", "ahead")
+    moved = windows.lag(events_in_order(spark, sf_dir), "user_id", 2, -1, "back")
+    return windows.lead(moved, "user_id", 1, None, "ahead").select("event_id", "back", "ahead")
 
 
 @query(f"SELECT event_id, lag(value, 1, 0.0) OVER (ORDER BY event_id) AS before FROM {HOLED}")
@@ -407,14 +409,14 @@ def hash_rows(spark, sf_dir):
 
 @query(f"SELECT {LINE}, l_returnflag FROM lineitem")
 def csv_round_trip(spark, sf_dir):
-    path = f"{shared_dir(spark)}/tabula-csv-{abs(hash(sf_dir))}"
+    path = scratch(spark, "csv")
     csvio.write_csv_files(read(spark, sf_dir, "lineitem").select(*LINE.split(", "), "l_returnflag"), path)
     return csvio.read_csv_files(spark, path).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def store_round_trip(spark, sf_dir):
-    path = f"{shared_dir(spark)}/tabula-store-{abs(hash(sf_dir))}"
+    path = scratch(spark, "store")
     store.save_table(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path)
     return store.load_table(spark, path)
 
@@ -455,70 +457,287 @@ def plan_run(spark, sf_dir):
     return doubles(found.run(), "total")
 
 
-# Graphs: customers and items as 100 nodes, orders as edges
+# Functions on columns, tables and plans that the queries above leave out
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey <> l_linenumber AS ne, l_suppkey <= l_linenumber AS le, l_suppkey > l_linenumber AS gt FROM lineitem""")
+def compare_i64_rest(spark, sf_dir):
+    a, b = F.col("l_suppkey"), F.col("l_linenumber")
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", el.i64_ne(a, b).alias("ne"), el.i64_le(a, b).alias("le"), el.i64_gt(a, b).alias("gt")
+    )
 
-EDGES = "(SELECT DISTINCT o_custkey % 100 AS src, (o_orderkey * 7) % 100 AS dst FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey < 600)"
-WEIGHTED = f"(SELECT src, dst, CAST(1 + (src * 31 + dst * 17) % 7 AS DOUBLE) AS w FROM {EDGES})"
-NODES = "(SELECT range AS node FROM range(100))"
+
+@query(f"""SELECT CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS s, count(value) AS n, min(value) AS lo, max(value) AS hi,
+  round(CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) / count(value), 6) AS mean FROM {HOLED}""")
+def scalar_aggregates_f64(spark, sf_dir):
+    events = holed_events(spark, sf_dir)
+    items = [sum_("value", "s"), count("value", "n"), min_("value", "lo"), max_("value", "hi"), avg("value", "mean")]
+    return doubles(reduce.reduce(events, *items), "s", "mean")
+
+
+@query(f"""SELECT count(DISTINCT user_id) AS ints, count(DISTINCT value) AS floats, count(DISTINCT (user_id, event_id)) AS pairs,
+  true AS zeros_alike, true AS nan_like_null, true AS ordered FROM {HOLED}""")
+def hash_values(spark, sf_dir):
+    h = holed_events(spark, sf_dir).select(
+        el.hash_i64(F.col("user_id")).alias("i"), F.when(F.col("value").isNotNull(), el.hash_f64(F.col("value"))).alias("f"),
+        el.hash_combine(F.col("user_id"), F.col("event_id")).alias("p"),
+    )
+    same = [
+        el.hash_f64(F.lit(0.0)) == el.hash_f64(F.lit(-0.0)), el.hash_f64(F.lit(float("nan"))) == el.hash_f64(F.lit(None).cast("double")),
+        el.hash_combine(F.lit(1), F.lit(2)) != el.hash_combine(F.lit(2), F.lit(1)),
+    ]
+    found = h.agg(F.count_distinct("i").alias("ints"), F.count_distinct("f").alias("floats"), F.count_distinct("p").alias("pairs"))
+    return found.select("*", *[t.alias(n) for t, n in zip(same, ("zeros_alike", "nan_like_null", "ordered"))])
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS i, CAST(n_nationkey / 4 AS DOUBLE) AS f, n_nationkey % 2 = 0 AS b, n_name AS y,
+  nullif(n_name, 'n7') AS s, CAST(n_nationkey * 3 AS BIGINT) AS a FROM nation""")
+def columns_of_values(spark, sf_dir):
+    """The constructors of columns take values at hand: those of the 25 nations."""
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()
+    keys, names = [r[0] for r in rows], [r[1] for r in rows]
+    made = table(spark, [
+        ("i", "i64", keys), ("f", "f64", [k / 4 for k in keys]), ("b", "bool", [k % 2 == 0 for k in keys]), ("y", "sym", names),
+        ("s", "str", [None if n == "n7" else n for n in names]),
+    ])
+    arrayed = array_column(spark, "a", "i64", np.array(keys) * 3)
+    return made.join(arrayed, ordering.ROW).select("i", "f", "b", "y", "s", "a")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS k, DATE '2024-01-01' + CAST(n_nationkey AS INTEGER) AS day,
+  epoch_ms(TIMESTAMP '2024-01-01 00:00:00' + to_hours(n_nationkey)) AS instant_ms,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes(n_nationkey) AS clock, CAST(n_nationkey AS BIGINT) * 1000000000 AS nanos,
+  'duration' AS logical, true AS decodes, true AS cleared FROM nation""")
+def columns_of_logical_types(spark, sf_dir):
+    """Dates, instants, datetimes and durations of values at hand, and the logical type that a column carries."""
+    first = dt.datetime(2024, 1, 1)
+    keys = [r[0] for r in read(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    spans = [dt.timedelta(seconds=k) for k in keys]
+    made = {
+        "day": ("date", [first.date() + dt.timedelta(days=k) for k in keys]),
+        "instant": ("instant", [first.replace(tzinfo=dt.timezone.utc) + dt.timedelta(hours=k) for k in keys]),
+        "clock": ("datetime", [first + dt.timedelta(minutes=k) for k in keys]), "nanos": ("duration", spans),
+    }
+    parts = {name: types.typed_column(spark, name, tag, values) for name, (tag, values) in made.items()}
+    whole = table(spark, [("k", "i64", keys)])
+    for part in parts.values():
+        whole = whole.join(part, ordering.ROW)
+    plain = whole.select(types.with_logical(F.col("nanos"), "nanos", None))
+    return whole.select(
+        "k", "day", F.unix_millis("instant").alias("instant_ms"), "clock", "nanos", F.lit(types.logical_of(whole.schema["nanos"])).alias("logical"),
+        F.lit(types.decoded(parts["nanos"], "nanos") == spans).alias("decodes"), F.lit(types.logical_of(plain.schema["nanos"]) is None).alias("cleared"),
+    )
+
+
+@query("""SELECT 3 AS width, count(*) AS n, 1 AS place, -1 AS missing, 'value' AS third, count(value) AS held, count(user_id) AS by_place FROM """ + HOLED)
+def table_accessors(spark, sf_dir):
+    events = with_rows(holed_events(spark, sf_dir).select("event_id", "user_id", "value"))
+    held = column(events, "value").agg(F.count("value").alias("held"))
+    by_place = column_by_idx(events, 1).agg(F.count("user_id").alias("by_place"))
+    facts = spark.createDataFrame(
+        [(ncols(events), nrows(events), col_idx(events, "user_id"), col_idx(events, "none"), col_name(events, 2))],
+        "width int, n long, place int, missing int, third string",
+    )
+    return facts.join(held).join(by_place)
+
+
+@query("""SELECT CAST(row AS BIGINT) AS row, row NOT IN (3, 1024, 5000) AS live, (SELECT count(*) - 3 FROM range(8000)) AS total,
+  CASE WHEN row // 1024 IN (0, 1, 4) THEN 'mixed' ELSE 'live' END AS flag, 1023 AS first_block, true AS others_dead
+  FROM (VALUES (3), (4), (1024), (7777)) AS v(row)""")
+def selection_edits(spark, sf_dir):
+    some = selection.selection_all(8000)
+    for row in (3, 4, 1024, 5000):
+        some = some.set_row(row, False)
+    some = some.set_row(4, True)
+    rows = [
+        (r, some.row_live(r), some.popcount(), some.block_flag(r // selection.BLOCK_ROWS), some.block_popcount(0), selection.selection_none(9).popcount() == 0)
+        for r in (3, 4, 1024, 7777)
+    ]
+    return spark.createDataFrame(rows, "row long, live boolean, total long, flag string, first_block int, others_dead boolean")
+
+
+@query("""SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS row FROM events) WHERE row NOT IN (3, 100, 500)""")
+def selection_applied(spark, sf_dir):
+    events = events_in_order(spark, sf_dir)
+    some = selection.selection_all(events.count())
+    for row in (3, 100, 500):
+        some = some.set_row(row, False)
+    return some.apply(events).select("event_id")
+
+
+@query(f"""SELECT event_id, value * 2 AS twice, NOT (value > 50) AS low, upper(kind) AS loud FROM {HOLED}""")
+def batch_map_kinds(spark, sf_dir):
+    """Batches of floating, boolean and string columns."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def change(batch):
+        made = [batch.column(0), pc.multiply(batch.column(1), 2.0), pc.invert(batch.column(2)), pc.utf8_upper(batch.column(3))]
+        return pa.RecordBatch.from_arrays(made, ["event_id", "twice", "low", "loud"])
+
+    events = holed_events(spark, sf_dir).select("event_id", "value", (F.col("value") > 50).alias("low"), "kind")
+    return batches.map_batches(events, change, "event_id long, twice double, low boolean, loud string")
+
+
+@query("""SELECT n_nationkey AS k, n_name || ' says "hi", twice' || chr(10) || 'over' AS said, n_nationkey % 2 = 0 AS even FROM nation""")
+def csv_text_round_trip(spark, sf_dir):
+    """Quotes, delimiters and line ends inside cells, booleans and strict parsing, as text at hand."""
+    said = F.concat("n_name", F.lit(' says "hi", twice\nover'))
+    nations = read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("k"), said.alias("said"), (F.col("n_nationkey") % 2 == 0).alias("even")
+    )
+    again = csvio.read_csv(spark, csvio.write_csv(nations, delimiter=";", force_quote=True), delimiter=";", strict=True)
+    return again.select(F.col("k").cast("int").alias("k"), "said", "even")
+
+
+@query("""SELECT CAST(r_regionkey AS VARCHAR) AS k, r_name || '|"x"' AS name FROM region""")
+def csv_records(spark, sf_dir):
+    """Records of strings in and out of text, nothing inferred."""
+    records = [(str(r[0]), r[1] + '|"x"') for r in read(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()]
+    found = csvio.parse_csv(csvio.format_csv(records, delimiter="|"), delimiter="|", strict=True)
+    return spark.createDataFrame(found, "k string, name string")
+
+
+@query("""SELECT n - 1 AS line, l_orderkey, l_linenumber FROM
+  (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem)""")
+def csv_files_in_order(spark, sf_dir):
+    path = scratch(spark, "csv-ordered")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").orderBy("l_orderkey", "l_linenumber")
+    csvio.write_csv_files(lines, path)
+    found = csvio.read_csv_files(spark, path, rows=True)
+    return found.select(F.col(ordering.ROW).alias("line"), "l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+
+
+@query("""SELECT 'l_discount' AS predicate, 'l_quantity,l_discount,l_returnflag' AS referenced, true AS pruned, true AS pushed, true AS folded""")
+def plan_rewrites(spark, sf_dir):
+    """What Catalyst makes of a query: columns pruned and the predicate pushed into the scan, constants folded."""
+    limit = (c("l_discount") > 0.05) & (c("l_discount") > 0.02 + 0.02)
+    found = Query(read(spark, sf_dir, "lineitem"), ("l_returnflag",), (sum_("l_quantity"),), limit)
+    text = found.explain()
+    row = (
+        ",".join(sorted(found.predicate_columns())), ",".join(found.referenced_columns()), "ReadSchema: struct<l_quantity:double,l_discount:double,l_returnflag:string>" in text,
+        "PushedFilters: [IsNotNull(l_discount), GreaterThan(l_discount,0.05)" in text, "0.02 +" not in text,
+    )
+    return spark.createDataFrame([row], "predicate string, referenced string, pruned boolean, pushed boolean, folded boolean")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (ORDER BY l_quantity DESC, l_orderkey, l_linenumber) - 1 AS place,
+  'l_quantity' AS read FROM lineitem""")
+def plan_sort(spark, sf_dir):
+    planned = sort_plan(lines_in_order(spark, sf_dir), [("l_quantity", "desc")])
+    return planned.run().select(
+        "l_orderkey", "l_linenumber", "l_quantity", F.col(ordering.ROW).alias("place"), F.lit(",".join(planned.referenced_columns())).alias("read")
+    )
+
+
+@query(f"""SELECT event_id, lag(value, 1, 0.0) OVER (PARTITION BY user_id ORDER BY event_id) AS back, 'user_id,value' AS read FROM {HOLED}""")
+def plan_window(spark, sf_dir):
+    planned = window_plan(
+        events_in_order(spark, sf_dir), "lag", "value", default=0.0, out="back", order=[F.col("event_id")], partition_by=["user_id"]
+    )
+    return planned.run().select("event_id", "back", F.lit(",".join(planned.referenced_columns())).alias("read"))
+
+
+# Graphs. Every order leads from its customer to another one, so that nodes are the customers and all orders count.
+
+ORDER_SIZE = "(SELECT CAST(max(o_custkey) + 1 AS BIGINT) AS n FROM orders)"
+EDGES = f"(SELECT DISTINCT o_custkey AS src, (o_orderkey * 7919) % n AS dst FROM orders, {ORDER_SIZE})"
+NODES = f"(SELECT unnest(range(n)) AS node FROM {ORDER_SIZE})"
+START = "(SELECT CAST(min(o_custkey) AS BIGINT) FROM orders)"
+WEIGHT = "CAST(1 + (src * 31 + dst * 17) % 7 AS DOUBLE)"
+
+
+def degree_sql(edges: str, nodes: str, end: str, out: str) -> str:
+    return f"SELECT node, coalesce(n, 0) AS {out} FROM {nodes} LEFT JOIN (SELECT {end}, count(*) AS n FROM {edges} GROUP BY {end}) ON node = {end}"
+
+
+def paths_sql(edges: str, nodes: str, start: str, cost: str, zero: str) -> str:
+    """Shortest paths: a node's distance is replaced while a shorter one turns up."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst, {cost} AS w FROM {edges}),
+  r(node, d) USING KEY (node) AS (SELECT {start} AS node, {zero} AS d UNION
+    SELECT dst, min(r.d + w) FROM r JOIN e ON src = r.node LEFT JOIN recurring.r AS old ON old.node = dst
+    GROUP BY dst, old.d HAVING old.d IS NULL OR min(r.d + w) < old.d)
+  SELECT n.node, d AS distance FROM {nodes} n LEFT JOIN r ON r.node = n.node"""
+
+
+def components_sql(edges: str, nodes: str) -> str:
+    """The smallest label spreads over edges in both directions while it lowers any."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {edges} UNION SELECT dst, src FROM {edges}),
+  r(node, c) USING KEY (node) AS (SELECT node, node AS c FROM {nodes} UNION
+    SELECT dst, min(r.c) FROM r JOIN e ON src = r.node JOIN recurring.r AS old ON old.node = dst
+    GROUP BY dst, old.c HAVING min(r.c) < old.c)
+  SELECT node, c AS component FROM r"""
+
+
+def pagerank_sql(edges: str, nodes: str, rounds: int) -> str:
+    steps = "".join(
+        f""",
+r{k + 1} AS MATERIALIZED (SELECT node, 0.15 / n + 0.85 * ((SELECT coalesce(sum(rank), 0) FROM r{k} WHERE node NOT IN (SELECT src FROM e)) / n
+    + coalesce(got, 0)) AS rank FROM v, size LEFT JOIN (SELECT dst, sum(rank / out) AS got FROM r{k} JOIN e ON src = node GROUP BY dst)
+    ON node = dst)"""
+        for k in range(rounds)
+    )
+    return f"""WITH e AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS out FROM {edges}),
+v AS MATERIALIZED (SELECT node FROM {nodes}), size AS (SELECT count(*)::DOUBLE AS n FROM v),
+r0 AS (SELECT node, 1 / n AS rank FROM v, size){steps}
+SELECT node, round(rank, 9) AS rank FROM r{rounds}"""
 
 
 def order_graph(spark, sf_dir) -> graph.Graph:
+    orders = read(spark, sf_dir, "orders")
+    n = orders.agg(F.max("o_custkey")).first()[0] + 1
     edges = (
-        read(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0 AND o_orderkey < 600")
-        .select((F.col("o_custkey") % 100).alias("src"), (F.col("o_orderkey") * 7 % 100).alias("dst")).distinct()
+        orders.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") * 7919 % n).alias("dst")).distinct()
         .withColumn("weight", (1 + (F.col("src") * 31 + F.col("dst") * 17) % 7).cast("double"))
+        .withColumn(ordering.ROW, F.col("src") * n + F.col("dst"))
     )
-    return graph.build_graph(with_rows(edges, [F.col("src"), F.col("dst")]), weight="weight", n_nodes=100)
+    return graph.build_graph(edges, weight="weight", n_nodes=n)
 
 
-@query(f"SELECT node, coalesce(n, 0) AS degree FROM {NODES} LEFT JOIN (SELECT src, count(*) AS n FROM {EDGES} GROUP BY src) ON node = src")
+def first_customer(spark, sf_dir) -> int:
+    return read(spark, sf_dir, "orders").agg(F.min("o_custkey")).first()[0]
+
+
+@query(degree_sql(EDGES, NODES, "src", "degree"))
 def graph_degree(spark, sf_dir):
     return graph.degree(order_graph(spark, sf_dir))
 
 
-@query(f"SELECT node, coalesce(n, 0) AS in_degree FROM {NODES} LEFT JOIN (SELECT dst, count(*) AS n FROM {EDGES} GROUP BY dst) ON node = dst")
+@query(degree_sql(EDGES, NODES, "dst", "in_degree"))
 def graph_in_degree(spark, sf_dir):
     return graph.in_degree(order_graph(spark, sf_dir))
 
 
-@query(f"SELECT dst AS target, w AS weight FROM {WEIGHTED} WHERE src = 19")
+@query(f"SELECT dst AS target, {WEIGHT} AS weight FROM {EDGES} WHERE src = {START}")
 def graph_neighbors(spark, sf_dir):
-    return graph.neighbors(order_graph(spark, sf_dir), 19).select("target", "weight")
+    return graph.neighbors(order_graph(spark, sf_dir), first_customer(spark, sf_dir)).select("target", "weight")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT * FROM {EDGES}), r(node, h) AS (SELECT 19, 0 UNION SELECT dst, h + 1 FROM r JOIN e ON src = node WHERE h < 100)
-  SELECT n.node, CAST(min(h) AS BIGINT) AS distance FROM {NODES} n LEFT JOIN r ON r.node = n.node GROUP BY n.node""")
+@query(paths_sql(EDGES, NODES, START, "1", "0::BIGINT"))
 def graph_bfs(spark, sf_dir):
-    return graph.bfs(order_graph(spark, sf_dir), 19)
+    return graph.bfs(order_graph(spark, sf_dir), first_customer(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT * FROM {WEIGHTED}), r(node, d, h) AS (SELECT CAST(19 AS BIGINT), CAST(0 AS DOUBLE), 0
-  UNION SELECT dst, min(d + w), h + 1 FROM r JOIN e ON src = node WHERE h < 30 GROUP BY dst, h + 1)
-  SELECT n.node, min(d) AS distance FROM {NODES} n LEFT JOIN r ON r.node = n.node GROUP BY n.node""")
+@query(paths_sql(EDGES, NODES, START, WEIGHT, "0::DOUBLE"))
 def graph_dijkstra(spark, sf_dir):
-    return graph.dijkstra(order_graph(spark, sf_dir), 19)
+    return graph.dijkstra(order_graph(spark, sf_dir), first_customer(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}),
-  r(node, other) AS (SELECT node, node FROM {NODES} UNION SELECT r.node, dst FROM r JOIN e ON src = other)
-  SELECT node, min(other) AS component FROM r GROUP BY node""")
+@query(components_sql(EDGES, NODES))
 def graph_components(spark, sf_dir):
     return graph.connected_components(order_graph(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS out FROM {EDGES}),
-  r(node, rank, step) AS (SELECT node, 0.01::DOUBLE, 0 FROM {NODES} UNION ALL
-    SELECT n.node, 0.0015 + 0.85 * ((SELECT sum(rank) FROM r WHERE node NOT IN (SELECT src FROM e)) / 100
-      + coalesce((SELECT sum(rank / out) FROM r JOIN e ON src = r.node WHERE dst = n.node), 0)),
-      (SELECT max(step) FROM r) + 1 FROM {NODES} n WHERE (SELECT max(step) FROM r) < 5)
-  SELECT node, round(rank, 9) AS rank FROM r WHERE step = 5""")
+@query(pagerank_sql(EDGES, NODES, 5))
 def graph_pagerank(spark, sf_dir):
     return doubles(graph.pagerank(order_graph(spark, sf_dir), iters=5), "rank", digits=9)
 
 
 @query(None)
 def graph_dfs(spark, sf_dir):
-    return graph.dfs(order_graph(spark, sf_dir), 19)
+    """Compared with a recursive search in the tests: SQL has no stack."""
+    return graph.dfs(order_graph(spark, sf_dir), first_customer(spark, sf_dir))
 
 
 # The same algorithms over every row: customers, orders and suppliers in one range of nodes, from customer to order and
@@ -548,41 +767,36 @@ def whole_graph(spark, sf_dir) -> graph.Graph:
     return graph.build_graph(edges, weight="weight", n_nodes=first_supplier + more["s"] + 1)
 
 
-def first_customer(spark, sf_dir) -> int:
-    return read(spark, sf_dir, "orders").agg(F.min("o_custkey")).first()[0]
-
-
-@query(f"SELECT node, coalesce(n, 0) AS degree FROM {ALL_NODES} LEFT JOIN (SELECT src, count(*) AS n FROM {ALL_EDGES} GROUP BY src) ON node = src")
+@query(degree_sql(ALL_EDGES, ALL_NODES, "src", "degree"))
 def graph_all_degree(spark, sf_dir):
     return graph.degree(whole_graph(spark, sf_dir))
 
 
-@query(f"SELECT node, coalesce(n, 0) AS in_degree FROM {ALL_NODES} LEFT JOIN (SELECT dst, count(*) AS n FROM {ALL_EDGES} GROUP BY dst) ON node = dst")
+@query(degree_sql(ALL_EDGES, ALL_NODES, "dst", "in_degree"))
 def graph_all_in_degree(spark, sf_dir):
     return graph.in_degree(whole_graph(spark, sf_dir))
 
 
-@query(f"""SELECT dst AS target, CAST(1 + (src * 31 + dst * 17) % 7 AS DOUBLE) AS weight FROM {ALL_EDGES}
-  WHERE src = (SELECT min(o_custkey) FROM orders)""")
+@query(f"SELECT dst AS target, {WEIGHT} AS weight FROM {ALL_EDGES} WHERE src = {START}")
 def graph_all_neighbors(spark, sf_dir):
     return graph.neighbors(whole_graph(spark, sf_dir), first_customer(spark, sf_dir)).select("target", "weight")
 
 
-@query(None)
+@query(paths_sql(ALL_EDGES, ALL_NODES, START, "1", "0::BIGINT"))
 def graph_all_bfs(spark, sf_dir):
     return graph.bfs(whole_graph(spark, sf_dir), first_customer(spark, sf_dir))
 
 
-@query(None)
+@query(paths_sql(ALL_EDGES, ALL_NODES, START, WEIGHT, "0::DOUBLE"))
 def graph_all_dijkstra(spark, sf_dir):
     return graph.dijkstra(whole_graph(spark, sf_dir), first_customer(spark, sf_dir))
 
 
-@query(None)
+@query(components_sql(ALL_EDGES, ALL_NODES))
 def graph_all_components(spark, sf_dir):
     return graph.connected_components(whole_graph(spark, sf_dir))
 
 
-@query(None)
+@query(pagerank_sql(ALL_EDGES, ALL_NODES, 5))
 def graph_all_pagerank(spark, sf_dir):
     return doubles(graph.pagerank(whole_graph(spark, sf_dir), iters=5), "rank", digits=9)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -14,6 +15,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -30,11 +32,13 @@ def build_session(app: str = "tabula", master: str | None = None, **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir` where the cluster names one.
 
-    Only where nothing is set, as in local tests, a folder of our own is named.
+    Only on a local master, as in tests, a folder of our own is named where nothing is set; elsewhere that is an error.
     """
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), "checkpoints")
     if not context.getCheckpointDir():
         context.setCheckpointDir(path)
@@ -45,3 +49,43 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and continue from there, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, which `sweep` deletes."""
+    path = f"{shared_dir(spark).rstrip('/')}/tabula/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, path: str, *measures: Column) -> dict:
+    """Write `df` as Parquet, and the values of the named aggregates `measures`, taken while writing."""
+    seen = Observation()
+    df.observe(seen, *measures).write.parquet(path)
+    return seen.get
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet below the shared folder and continue from the file: no recomputation after a loss, and
+    the planner knows the size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, where it is still there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the scratch tables that this application wrote, and return how many. Results that still read them, which
+    are lazy, can't be computed afterwards: call it when the results are stored."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)

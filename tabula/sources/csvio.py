@@ -9,14 +9,16 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabula.frame import KINDS, columns
-from tabula.operators.ordering import ROW
+from tabula.operators.ordering import ROW, number_rows
 
 SAMPLE_ROWS = 100
 #: Spellings of booleans and of floating specials, and the shapes of numbers.
@@ -76,6 +78,17 @@ def _typed(raw: DataFrame, names: Sequence[str], types: Mapping[int, str] | None
     return raw.select(*out, *([ROW] if ROW in raw.columns else []))
 
 
+def parse_csv(
+    text: str | io.TextIOBase, delimiter: str = ",", quote: str = '"', strict: bool = False, end_of_line: str | None = None
+) -> list[list[str]]:
+    """The records of CSV text or a reader as lists of strings, nothing inferred; blank lines are left out."""
+    body = text if isinstance(text, str) else text.read()
+    if end_of_line:
+        body = body.replace(end_of_line, "\n")
+    found = csv.reader(io.StringIO(body, newline=""), delimiter=delimiter, quotechar=quote, strict=strict, doublequote=True)
+    return [r for r in found if r]
+
+
 def read_csv(
     spark: SparkSession, text: str | io.TextIOBase, header: bool = True, types: Mapping[int, str] | None = None,
     delimiter: str = ",", quote: str = '"', strict: bool = False, sample: int = SAMPLE_ROWS, end_of_line: str | None = None,
@@ -83,13 +96,10 @@ def read_csv(
     """A table from CSV text or a reader, with row order. For files and folders see read_csv_files.
 
     `types` maps column numbers to kinds and replaces inference; columns it does not name are strings. Without a header
-    columns are col0, col1 and so on. Short rows are filled with nulls, long ones cut.
+    columns are col0, col1 and so on, as many as the longest row has. Short rows are filled with nulls, rows longer than
+    the header cut.
     """
-    body = text if isinstance(text, str) else text.read()
-    if end_of_line:
-        body = body.replace(end_of_line, "\n")
-    rows = list(csv.reader(io.StringIO(body, newline=""), delimiter=delimiter, quotechar=quote, strict=strict, doublequote=True))
-    rows = [r for r in rows if r]
+    rows = parse_csv(text, delimiter, quote, strict, end_of_line)
     names = (rows[0] if rows else []) if header else [f"col{n}" for n in range(max(map(len, rows), default=0))]
     data = rows[1:] if header else rows
     width = len(names)
@@ -98,17 +108,41 @@ def read_csv(
     return _typed(spark.createDataFrame(filled, schema), names, types, sample)
 
 
+def _longest_row(spark: SparkSession, path: str, delimiter: str, quote: str, line_ends: dict[str, str]) -> int:
+    """Fields of the longest line of some files; the lines are counted where they are read."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = csv.reader(batch.column(0).to_pylist(), delimiter=delimiter, quotechar=quote)
+            yield pa.RecordBatch.from_pydict({"n": [max(map(len, lines), default=0)]})
+
+    return spark.read.options(**line_ends).text(path).mapInArrow(count, "n long").agg(F.max("n")).first()[0] or 0
+
+
 def read_csv_files(
     spark: SparkSession, path: str, header: bool = True, types: Mapping[int, str] | None = None, delimiter: str = ",",
-    quote: str = '"', strict: bool = False, sample: int = SAMPLE_ROWS, multiline: bool = False,
+    quote: str = '"', strict: bool = False, sample: int = SAMPLE_ROWS, multiline: bool = False, end_of_line: str | None = None,
+    rows: bool = False,
 ) -> DataFrame:
-    """A table from CSV files that Spark reads in parallel; the sample is the only thing that reaches the driver."""
+    """A table from CSV files that Spark reads in parallel; the sample is the only thing that reaches the driver.
+
+    Without a header a first pass finds the longest row, which gives the columns (records over several lines count by
+    their lines). `rows` attaches the row order: files by path, lines as they stand in them.
+    """
+    line_ends = {"lineSep": end_of_line} if end_of_line else {}
     reader = spark.read.options(
         header=header, sep=delimiter, quote=quote, escape=quote, mode="FAILFAST" if strict else "PERMISSIVE",
-        multiLine=multiline, inferSchema=False, emptyValue="", enforceSchema=True,
+        multiLine=multiline, inferSchema=False, emptyValue="", enforceSchema=True, **line_ends,
     )
+    if not header:
+        width = _longest_row(spark, path, delimiter, quote, line_ends)
+        reader = reader.schema(T.StructType([T.StructField(f"col{n}", T.StringType()) for n in range(width)]))
     raw = reader.csv(path)
-    names = raw.columns if header else [f"col{n}" for n in range(len(raw.columns))]
+    names = raw.columns
+    if rows:
+        place = raw.metadataColumn("_metadata")
+        raw = raw.withColumns({"_file": place["file_path"], "_block": place["file_block_start"], "_line": F.monotonically_increasing_id()})
+        raw = number_rows(raw, [F.col("_file"), F.col("_block"), F.col("_line")], ROW, unique=True).drop("_file", "_block", "_line")
     return _typed(raw, names, types, sample)
 
 
@@ -116,19 +150,25 @@ def _text_columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`").cast("string").alias(c) for c in columns(df)]
 
 
-def write_csv(df: DataFrame, delimiter: str = ",", quote: str = '"', end_of_line: str = "\n", force_quote: bool = False) -> str:
-    """A small table as CSV text with a header, in row order; null is empty. For large tables see write_csv_files."""
+def format_csv(
+    records: Iterable[Sequence[str | None]], delimiter: str = ",", quote: str = '"', end_of_line: str = "\n", force_quote: bool = False
+) -> str:
+    """Records of strings as CSV text, the reverse of parse_csv; None is empty."""
     out = io.StringIO()
     writer = csv.writer(
         out, delimiter=delimiter, quotechar=quote, lineterminator=end_of_line, quoting=csv.QUOTE_ALL if force_quote else csv.QUOTE_MINIMAL
     )
-    writer.writerow(columns(df))
-    ordered = df.orderBy(ROW) if ROW in df.columns else df
-    for row in ordered.select(*_text_columns(df)).toLocalIterator():
-        writer.writerow(["" if v is None else v for v in row])
+    writer.writerows(["" if v is None else v for v in record] for record in records)
     return out.getvalue()
 
 
+def write_csv(df: DataFrame, delimiter: str = ",", quote: str = '"', end_of_line: str = "\n", force_quote: bool = False) -> str:
+    """A small table as CSV text with a header, in row order; null is empty. For large tables see write_csv_files."""
+    ordered = df.orderBy(ROW) if ROW in df.columns else df
+    records = ordered.select(*_text_columns(df)).toLocalIterator()
+    return format_csv(chain([columns(df)], records), delimiter, quote, end_of_line, force_quote)
+
+
 def write_csv_files(df: DataFrame, path: str, delimiter: str = ",", quote: str = '"', force_quote: bool = False) -> str:
     """The table as CSV files with headers, written in parallel; null and the empty string are both empty."""
     df.select(*_text_columns(df)).write.options(

@@ -40,6 +40,22 @@ def test_dfs_follows_insertion_order(spark):
     assert values(g.dfs(x, 9)) == [None] * 6
 
 
+def test_long_paths_survive_merging(spark, monkeypatch):
+    monkeypatch.setattr(g, "MERGE_ROUNDS", 2)
+    chain = [(n, n + 1) for n in range(6)] + [(0, 6)]
+    assert values(g.bfs(build(spark, chain), 0)) == [*range(6), 1]
+    assert values(g.dijkstra(build(spark, chain, [1.0] * 6 + [50.0]), 0)) == [float(n) for n in range(7)]
+    assert values(g.dfs(build(spark, chain, n=9), 3)) == [None] * 3 + list(range(4)) + [None] * 2
+
+
+def test_dfs_is_bounded_by_what_is_reached(spark, monkeypatch):
+    monkeypatch.setattr(g, "SEQUENTIAL_EDGES", 2)
+    edges = [(0, 1), (1, 2)] + [(n, n + 1) for n in range(5, 8)]
+    assert values(g.dfs(build(spark, edges), 0))[:3] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        g.dfs(build(spark, edges), 5)
+
+
 def test_dijkstra(spark):
     assert values(g.dijkstra(build(spark, [(0, 1), (1, 2), (0, 2)], [1.0, 1.0, 5.0]), 0)) == [0.0, 1.0, 2.0]
     assert values(g.dijkstra(build(spark, [(0, 1)], [1.0], n=3), 0)) == [0.0, 1.0, None]

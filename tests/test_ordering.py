@@ -109,3 +109,61 @@ def test_types_through_windows(spark):
     days = [dt.date(2020, 1, 1), dt.date(2020, 6, 15)]
     df = types.typed_column(spark, "d", "date", days)
     assert [r[0] for r in rows(windows.lag(df, "d", 1, dt.date(1999, 12, 31)), "lag")] == [dt.date(1999, 12, 31), days[0]]
+
+
+def test_gaps_in_the_row_order_are_closed(spark):
+    from tabula.frame import slice_rows, with_rows
+    from tabula.operators.ordering import running_before
+    from tabula.operators.selection import live_by_block
+    from tabula.plans.expr import c
+
+    df = with_rows(spark.range(0, 3000, 1, 5).withColumnRenamed("id", "v"))
+    assert [r[0] for r in rows(slice_rows(df, 30, 10))] == list(range(30, 40))
+    assert sorted(tuple(r) for r in live_by_block(df, c("v") >= 1500).collect())[1] == (1, 1024, 548, "mixed", 0)
+    sums = running_before(spark.range(500).withColumnRenamed("id", "v"), [F.col("v")], "v", "s")
+    assert {r["v"]: r["s"] for r in sums.collect()} == {v: v * (v - 1) // 2 for v in range(500)}
+
+
+def test_both_ranks_in_one_pass(spark):
+    from tabula.operators import windows
+
+    df = make(spark, v=("f64", [10, 10, 20, None, float("nan"), 10]))
+    for block in (None, 2):
+        assert rows(windows.ranks(df, "v", block=block), "rank", "dense_rank") == [(1, 1), (1, 1), (3, 2), (4, 3), (4, 3), (6, 4)]
+
+
+def test_plans_of_sorts_and_windows(spark):
+    from tabula.plans.ordered import sort_plan, window_plan
+
+    df = make(spark, a=("i64", [2, 1, 2]), b=("sym", ["x", "y", "z"]))
+    planned = sort_plan(df, [("a", "asc")])
+    assert planned.referenced_columns() == ["a"] and planned.project().columns == ["a", "_row"] and rows(planned.run(), "b") == [("y",), ("x",), ("z",)]
+    assert planned.analyze() == {"type": "sort", "n-rows": 3, "n-cols-referenced": 1, "n-cols-total": 2}
+    assert rows(window_plan(df, "lag", "a", out="l").run(), "l") == [(None,), (2,), (1,)]
+    assert window_plan(df, "row_number").referenced_columns() == [] and window_plan(df, "rank", "a").analyze()["type"] == "window"
+    with pytest.raises(ValueError):
+        window_plan(df, "median", "a")
+
+
+def test_arrays_become_columns(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from tabula.frame import array_column
+
+    assert rows(array_column(spark, "x", "f64", np.array([1.5, np.nan]))) == [(1.5,), (None,)]
+    assert rows(array_column(spark, "x", "i64", pa.array([3, None], pa.int32()))) == [(3,), (None,)]
+    assert rows(array_column(spark, "x", "bool", pa.array([True, None]))) == [(True,), (False,)]
+    assert array_column(spark, "x", "sym", pa.array(["a"])).schema["x"].metadata == {"logical": "sym"}
+
+
+def test_scratch_tables_are_swept(spark):
+    import os
+
+    from tabula.session import kept, scratch, sweep
+
+    left = kept(spark.range(3), "swept")
+    path = scratch(spark, "never-written")
+    folder = os.path.dirname(path)
+    assert left.count() == 3 and any(n.startswith("swept-") for n in os.listdir(folder))
+    assert sweep(spark) >= 2 and not any(n.startswith("swept-") for n in os.listdir(folder)) and sweep(spark) == 0

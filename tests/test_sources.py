@@ -57,3 +57,21 @@ def test_store(spark, tmp_path):
         save_table(empty.select(ROW), str(tmp_path / "n"))
     with pytest.raises(Exception):
         load_table(spark, str(tmp_path / "missing"))
+
+
+def test_records(tmp_path, spark):
+    text = 'a;"b;""c"""\n\n"x\ny";\n'
+    assert csvio.parse_csv(text, delimiter=";") == [["a", 'b;"c"'], ["x\ny", ""]]
+    assert csvio.parse_csv(csvio.format_csv([["a", None], ['q"', "x,y"]])) == [["a", ""], ['q"', "x,y"]]
+    with pytest.raises(Exception):
+        csvio.parse_csv('"x"y', strict=True)
+
+
+def test_files_without_header_and_with_order(tmp_path, spark):
+    for name, body in (("b.csv", "3,4,5\n"), ("a.csv", "1\n2,x\n")):
+        (tmp_path / name).write_text(body)
+    df = csvio.read_csv_files(spark, str(tmp_path), header=False, rows=True)
+    assert rows(df) == [(1, None, None), (2, "x", None), (3, "4", 5)]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "p.csv").write_text("k|1|2")
+    assert sorted(rows(csvio.read_csv_files(spark, str(tmp_path / "c"), end_of_line="|"))) == [(1,), (2,)]
