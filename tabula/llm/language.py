@@ -19,7 +19,7 @@ from tabula.llm.shared import bounded_sample, held_out, learnable, small_batches
 
 #: Hashed features, n-gram lengths, characters handled at once.
 FEATURES, GRAMS, PIECE = 1 << 14, (1, 2, 3), 1 << 19
-#: Documents of each language that training sees at most; the most languages there may be.
+#: Documents of each language that training sees at most, and the most languages that are learned, the most frequent.
 PER_LANGUAGE, LANGUAGES = 1500, 500
 UNDETERMINED = "und"
 _MIX = np.uint32(0x9E3779B1)
@@ -41,7 +41,7 @@ def gram_counts(text: str | None) -> np.ndarray:
     total = np.zeros(FEATURES, dtype=np.int64)
     plain = f" {' '.join((text or '').lower().split())} "
     overlap = max(GRAMS) - 1
-    for at in range(0, max(1, len(plain) - overlap), PIECE):
+    for at in range(0, len(plain), PIECE):
         codes = np.frombuffer(plain[at : at + PIECE + overlap].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         for n, ids in zip(GRAMS, _gram_ids(codes)):
             total += np.bincount(ids[:PIECE], minlength=FEATURES)
@@ -123,13 +123,13 @@ def train_ftrl(
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of the least cross entropy, on a grid of ratios from 1/20 to 20."""
-    grid = np.geomspace(0.05, 20, 200)
-    scaled = logits[None, :, :] / grid[:, None, None]
-    top = scaled.max(-1, keepdims=True)
-    log_sum = np.log(np.exp(scaled - top).sum(-1)) + top[..., 0]
-    own = np.take_along_axis(scaled, np.broadcast_to(y[None, :, None], (len(grid), len(y), 1)), 2)[..., 0]
-    return float(grid[(log_sum - own).mean(1).argmin()])
+    """The temperature of the least cross entropy, on a grid of ratios from 1/20 to 20; memory is one copy of the logits."""
+    top, own = logits.max(1, keepdims=True), logits[np.arange(len(y)), y]
+    best = (np.inf, 1.0)
+    for t in np.geomspace(0.05, 20, 200):
+        loss = float((np.log(np.exp((logits - top) / t).sum(1)) + (top[:, 0] - own) / t).mean())
+        best = min(best, (loss, float(t)))
+    return best[1]
 
 
 def document_frequencies(rows: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
@@ -158,12 +158,13 @@ def document_frequencies(rows: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 def fit(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    modulus: int = 3, remainder: int = 1, per_language: int = PER_LANGUAGE,
+    modulus: int = 3, remainder: int = 1, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES,
 ) -> LanguageModel | None:
     """Learn from documents with a text and a language whose crc32(id) mod `modulus` is not `remainder`.
 
     Document frequencies count all of them; the weights are trained on about `per_language` documents of each
-    language, chosen by hash, four in five of them, and the temperature on the fifth. None if there are none.
+    language, chosen by hash, four in five of them, and the temperature on the fifth. Of more than `languages` values
+    of `lang` the most frequent are learned, which bounds the driver's memory. None if there are none.
     """
     known = docs.select(
         F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")
@@ -182,7 +183,7 @@ def fit(
                 packed.append(at.astype("<u2").tobytes() + counts[at].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(packed)], ["id", "lang", "counts"])
 
-    chosen = bounded_sample(known, "id", "lang", per_language, LANGUAGES)
+    chosen = bounded_sample(known, "id", "lang", per_language, languages)
     sample = chosen.select("id", "lang", "text").mapInArrow(run, "id string, lang string, counts binary")
     found = sorted((r["id"], r["lang"], bytes(r["counts"])) for r in sample.collect())
     names = sorted({lang for _, lang, _ in found})

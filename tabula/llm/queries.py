@@ -97,6 +97,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "shard", "version", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@_query
+def op8_sharding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shards hold, whatever lies in which."""
+    stored = sharding.shard(table(spark, sf_dir, "documents"))
+    return stored.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+ORACLE_SQL["op8_sharding_rows"] = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+
+
 @_query
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -157,7 +167,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 @_query
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's label is the quality of the document that the last number of its path names."""
+    """A page's label is the quality of the document that the last number of its path names: the numbers in the urls
+    of these tables run over the range of doc_id, and no other column ties pages to labels."""
     pages = table(spark, sf_dir, "pages")
     number = F.regexp_extract(urls.url_path(F.col("url")), r"(\d{1,18})\D*$", 1).try_cast("bigint")
     quality_of = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("number"), F.col("quality").alias("good"))
@@ -165,9 +176,13 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, labels)
 
 
+#: Levels that the SQL, which has no loop over them, follows; deeper paths are compared with brute force in the tests.
+SQL_LEVELS = 12
+
+
 def _template_sql() -> str:
     levels = []
-    for n in range(urls.DEPTH):
+    for n in range(SQL_LEVELS):
         levels.append(f"""
 b{n} AS (SELECT host, template, coalesce(segments[{n + 1}], '') AS segment, count(*) AS pages, count(good) AS labelled,
     coalesce(sum(good), 0) AS good FROM p{n} GROUP BY ALL),
@@ -201,8 +216,8 @@ p0 AS (
 overall AS (SELECT coalesce(avg(good), 1.0) AS overall FROM p0),
 purity AS (
   SELECT host, template, (coalesce(sum(good), 0) + {urls.PRIOR_PAGES} * any_value(overall)) / (count(good) + {urls.PRIOR_PAGES})
-    AS purity FROM p{urls.DEPTH}, overall GROUP BY host, template),
-ruled AS (SELECT page_id, host, path, template, {rule} AS rule FROM p{urls.DEPTH})
+    AS purity FROM p{SQL_LEVELS}, overall GROUP BY host, template),
+ruled AS (SELECT page_id, host, path, template, {rule} AS rule FROM p{SQL_LEVELS})
 SELECT page_id, host, path, split_part(rule, '|', 1) AS rule,
   coalesce(split_part(rule, '|', 2), CASE WHEN purity < {urls.LEAST_PURITY} THEN 'block' ELSE 'allow' END) AS verdict,
   template, CAST(round(purity, 6) AS DOUBLE) AS purity

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabula.session import shared_dir
+from tabula.session import kept, scratch
+
+__all__ = ["kept", "scratch"]
 
 #: A word is a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Tables of at most so many short rows (under 200 bytes each) are broadcast; larger ones are joined by shuffle.
 SMALL_ROWS = 50_000
-#: Rows in an Arrow batch, so that batches of long texts stay small.
-BATCH_ROWS = 256
+#: Bytes in an Arrow batch, so that batches of long texts stay small.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,23 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch length for this session where it is longer, because whole texts travel in the batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tabula/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet below the shared folder and continue from the file: no recomputation after a loss, and
-    the planner knows the size."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Bound the Arrow batches of this session by bytes where they are not, because whole texts travel in them; the
+    bound of rows stays as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(key).rstrip("bB")
+    if not given.isdigit() or int(given) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def word_count(text: Column) -> Column:
@@ -55,6 +44,26 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str, small_rows: int)
     return big.join(F.broadcast(small) if small_rows <= SMALL_ROWS else small, on, how)
 
 
+#: Rows of one key from which on the key is joined apart.
+HOT_ROWS = 10_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Inner join with `table`, one row for each value of `on`, whose column `weight` says how many of `rows` have it.
+
+    A table of few counted rows is broadcast. From a larger one only the keys of many rows are, a number that is bounded
+    because their rows add up; all other keys are joined by shuffle, and none of those fills a task.
+    """
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("rows")).first()
+    if size["n"] <= SMALL_ROWS:
+        return rows.join(F.broadcast(table.drop(weight)), on)
+    hot = F.col(weight) > max(HOT_ROWS, 2 * size["rows"] // SMALL_ROWS)
+    heavy, light = table.filter(hot).drop(weight), table.filter(~hot).drop(weight)
+    apart = rows.join(F.broadcast(heavy), on)
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on)
+    return apart.unionByName(rest)
+
+
 def learnable(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether labels of this document may be learned: crc32 of its id as text leaves another remainder. Null: no."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus != remainder, F.lit(False))
@@ -67,13 +76,11 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 def bounded_sample(rows: DataFrame, key: str, label: str, per_class: int, classes: int = 1000) -> DataFrame:
     """About `per_class` rows of each label (all, if fewer), chosen by a hash of `key`, so that reruns agree.
 
-    Raises ValueError beyond `classes` distinct labels; their counts are all that reaches the driver.
+    Of more than `classes` distinct labels, a documented bound on what is learned, the most frequent are sampled. The
+    sample is never larger than `classes` times about `per_class` rows.
     """
-    counts = rows.groupBy(label).count().limit(classes + 1).collect()
-    if len(counts) > classes:
-        raise ValueError(f"more than {classes} labels")
-    wanted = F.lit(0.0)
-    for row in counts:
-        wanted = F.when(F.col(label) == F.lit(row[label]), F.lit(min(1.0, per_class / row["count"]))).otherwise(wanted)
+    counts = rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_many"))
+    known = kept(counts.orderBy(F.desc("_many"), "_label").limit(classes), "sample-classes")
+    share = F.lit(float(per_class)) / F.col("_many")
     place = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.filter(place < wanted)
+    return rows.join(F.broadcast(known), F.col(label) == F.col("_label")).filter(place < share).drop("_label", "_many")

@@ -4,8 +4,10 @@ The paths of a host form a tree of segments. From the root down, a branch point
 pages is variable: its segments become one wildcard. Where the branches stay few, those whose labelled pages do not
 differ significantly from all pages of the branch point are merged into the wildcard too. A page's template is what its
 path becomes; templates whose smoothed share of good labelled pages is low are rejected. Explicit rules come first.
-Every step is an aggregation by (host, template so far, segment) and a join with its small result; partial aggregation
-and adaptive splitting keep hot hosts spread.
+
+The tree is grown on branches alone: distinct (host, path) with the counts of their pages and labels. A level's tokens
+are decided from counts of branches and join the distinct paths; pages are read twice, to count and to be judged. Every
+join is with a table of counts, so hot hosts, templates and paths are known and joined apart (see `join_counted`).
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabula.llm.shared import kept
+from tabula.llm.shared import join_counted, kept
 
 #: Host, path and verdict of the rules.
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -29,8 +31,6 @@ RULES: tuple[tuple[str, str, str], ...] = (
 VARIABLE_AT, VARIABLE_SHARE = 8, 0.25
 #: Branches within so many standard errors of their branch point are merged; so many labelled pages of prior; the least purity.
 SIMILAR_Z, PRIOR_PAGES, LEAST_PURITY = 1.96, 10.0, 0.6
-#: Segments that are told apart; what lies deeper belongs to the last one.
-DEPTH = 8
 WILDCARD, NO_MORE = "*", ""
 
 
@@ -57,39 +57,35 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 
 
 def path_segments(path: Column) -> Column:
-    """DEPTH segments of a path, the rest in the last, filled up with NO_MORE."""
-    parts = F.filter(F.split(path, "/", DEPTH + 1), lambda s: s != "")
-    return F.concat(F.slice(parts, 1, DEPTH), F.array_repeat(F.lit(NO_MORE), DEPTH)).alias("segments")
+    """All segments of a path; empty ones, as between two slashes, are none."""
+    return F.filter(F.split(path, "/"), lambda s: s != "").alias("segments")
 
 
-def grow_templates(pages: DataFrame, depth: int) -> DataFrame:
-    """`pages` (host, segments, good: 1, 0 or null, and more) with `template`, level by level."""
-    placed = pages.withColumn("template", F.lit("").cast("string"))
+def grow_templates(paths: DataFrame, depth: int) -> DataFrame:
+    """`paths` (host, segments, pages, labelled, good, and more) with `template`, level by level."""
+    placed = paths.withColumn("template", F.lit("").cast("string"))
     for level in range(depth):
-        placed = placed.withColumn("segment", F.element_at("segments", level + 1))
-        branches = kept(
-            placed.groupBy("host", "template", "segment").agg(
-                F.count(F.lit(1)).alias("pages"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")
-            ),
-            "url-branches",
-        )
-        points = branches.groupBy("host", "template").agg(
-            F.count_if(F.col("segment") != NO_MORE).alias("kinds"), F.sum("pages").alias("all_pages"),
-            F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"),
-        )
+        placed = placed.withColumn("segment", F.coalesce(F.try_element_at("segments", F.lit(level + 1)), F.lit(NO_MORE)))
+        branches = kept(placed.groupBy("host", "template", "segment").agg(
+            F.count(F.lit(1)).alias("paths"), *[F.sum(c).alias(c) for c in ("pages", "labelled", "good")]
+        ), "url-branches")
+        points = kept(branches.groupBy("host", "template").agg(
+            F.count_if(F.col("segment") != NO_MORE).alias("kinds"), F.count(F.lit(1)).alias("branches"),
+            F.sum("pages").alias("all_pages"), F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"),
+        ), "url-points")
         share = F.try_divide(F.col("all_good"), F.col("all_labelled"))
         error = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
         variable = (F.col("kinds") >= VARIABLE_AT) & (F.col("kinds") >= VARIABLE_SHARE * F.col("all_pages"))
         alike = F.abs(F.try_divide(F.col("good"), F.col("labelled")) - share) <= SIMILAR_Z * error + 1e-12
-        judged = branches.join(points, ["host", "template"]).select(
-            "host", "template", "segment",
+        judged = kept(join_counted(branches, points, ["host", "template"], "branches").select(
+            "host", "template", "segment", "paths",
             F.when(F.col("segment") == NO_MORE, F.col("segment"))
             .when(variable | (F.col("kinds") > 1) & F.coalesce(alike, F.lit(True)), F.lit(WILDCARD))
             .otherwise(F.col("segment")).alias("token"),
-        )
-        placed = placed.join(judged, ["host", "template", "segment"]).withColumn(
-            "template", F.when(F.col("token") == NO_MORE, F.col("template")).otherwise(F.concat("template", F.lit("/"), "token"))
-        ).drop("segment", "token")
+        ), "url-tokens")
+        grown = F.when(F.col("token") == NO_MORE, F.col("template")).otherwise(F.concat("template", F.lit("/"), "token"))
+        placed = join_counted(placed, judged, ["host", "template", "segment"], "paths")
+        placed = kept(placed.withColumn("template", grown).drop("segment", "token"), "url-placed")
     return placed
 
 
@@ -100,32 +96,34 @@ def judge(
     """(page_id, host, path, rule, verdict, template, purity) for every row of `pages`.
 
     `labels` has (page_id, good): 1, 0 or null; of several labels of a page the smallest counts. Pages without a host
-    share the template of the empty host. purity is (good + PRIOR_PAGES * overall) / (labelled + PRIOR_PAGES), overall
-    being the share of good pages in all labelled ones, 1 if none is labelled; a template below LEAST_PURITY is
-    blocked. Rows with equal ids are judged each by its url; a null id has no label. An empty table gives an empty
-    result. Other columns are not read.
+    share the template of the empty host. Paths are told apart to their full depth; empty segments are skipped. purity
+    is (good + PRIOR_PAGES * overall) / (labelled + PRIOR_PAGES), overall being the share of good pages in all labelled
+    ones, 1 if none is labelled; a template below LEAST_PURITY is blocked. Rows with equal ids are judged each by its
+    url; a null id has no label. An empty table gives an empty result. Other columns are not read.
     """
     known = labels.select(F.col(page_id).alias("page_id"), F.col(good).cast("int").alias("good")).groupBy("page_id").agg(
         F.min("good").alias("good")
     )
     address = F.col(url).cast("string")
     rows = pages.select(F.col(page_id).alias("page_id"), url_host(address).alias("host"), url_path(address).alias("path"))
-    rows = kept(
-        rows.join(known, "page_id", "left").select("page_id", "host", "path", path_segments(F.col("path")), "good"), "url-pages"
-    )
-    bounds = rows.agg(
-        F.max(F.size(F.filter("segments", lambda s: s != NO_MORE))).alias("depth"),
-        F.avg("good").alias("overall"),
-    ).first()
-    overall = 1.0 if bounds["overall"] is None else bounds["overall"]
-    placed = kept(grow_templates(rows, min(DEPTH, bounds["depth"] or 0)), "url-templates")
-    purity = placed.groupBy("host", "template").agg(F.sum("good").alias("good"), F.count("good").alias("labelled")).select(
-        "host", "template",
-        ((F.coalesce("good", F.lit(0)) + PRIOR_PAGES * overall) / (F.col("labelled") + PRIOR_PAGES)).alias("purity"),
+    rows = kept(rows.join(known, "page_id", "left").select("page_id", "host", "path", "good"), "url-pages")
+    paths = rows.groupBy("host", "path").agg(
+        F.count(F.lit(1)).alias("pages"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")
     )
+    paths = kept(paths.select("host", "path", path_segments(F.col("path")), "pages", "labelled", "good"), "url-paths")
+    bounds = paths.agg(F.max(F.size("segments")).alias("depth"), F.sum("good").alias("good"), F.sum("labelled").alias("labelled")).first()
+    overall = bounds["good"] / bounds["labelled"] if bounds["labelled"] else 1.0
+    placed = grow_templates(paths, bounds["depth"] or 0)
+    purity = kept(placed.groupBy("host", "template").agg(
+        F.count(F.lit(1)).alias("paths"), F.sum("good").alias("good"), F.sum("labelled").alias("labelled")
+    ).select(
+        "host", "template", "paths", ((F.col("good") + PRIOR_PAGES * overall) / (F.col("labelled") + PRIOR_PAGES)).alias("purity"),
+    ), "url-purity")
+    of_path = join_counted(placed.select("host", "path", "pages", "template"), purity, ["host", "template"], "paths")
+    of_path = kept(of_path, "url-verdicts")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     learned = F.when(F.col("purity") < LEAST_PURITY, F.lit("block")).otherwise(F.lit("allow"))
-    return placed.join(purity, ["host", "template"]).select(
+    return join_counted(rows, of_path, ["host", "path"], "pages").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learned).alias("verdict"), "template",
         F.round("purity", 6).alias("purity"),
     )

@@ -111,6 +111,27 @@ def test_ftrl_is_sparse_and_temperature_calibrates():
     assert 1 / (1 + np.exp(-4 / t)) == pytest.approx(0.75, abs=0.02)
 
 
+@pytest.mark.parametrize("size", [0, 1, 5, 61, 62, 63, 64, 65, 66, 67, 126, 127, 128, 129, 190, 400])
+def test_grams_do_not_depend_on_pieces(size, monkeypatch):
+    text = "".join("abcdeé "[(7 * n * n + n) % 7] for n in range(size))
+    whole = language.gram_counts(text)
+    monkeypatch.setattr(language, "PIECE", 64)
+    plain = f" {' '.join(text.lower().split())} "
+    assert (language.gram_counts(text) == whole).all() and whole.sum() == sum(max(0, len(plain) - n + 1) for n in language.GRAMS)
+    naive = np.zeros_like(whole)
+    for n in language.GRAMS:
+        for at in range(len(plain) - n + 1):
+            codes = np.frombuffer(plain[at : at + n].encode("utf-32-le"), dtype=np.uint32)
+            naive[language._gram_ids(codes)[language.GRAMS.index(n)][0]] += 1
+    assert (naive == whole).all()
+
+
+def test_only_the_most_frequent_languages_are_learned(spark):
+    rows = [(n, f"text number {n} {'abcde'[n % 5] * 4}", f"l{min(n, n % 3) if n < 60 else n}") for n in range(70)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=3)
+    assert model.names == ["l0", "l1", "l2"]
+
+
 def test_word_hashes():
     data = np.frombuffer(b"one two one " + b"q" * 200 + b" " + b"q" * 201, dtype=np.uint8)
     begins, ends = word_spans(data, LETTER_BYTES)
