@@ -4,25 +4,31 @@ Texts are sequences of lower-case words. An item of n words is found where a str
 edits of it. A CGK random walk copies the word under a pointer and moves the pointer by a random bit of that word and
 step, which embeds edit distance into Hamming distance; each repetition compares a few sampled positions of the
 embeddings of the item and of an item-sized window, and enough repetitions are made to reach the target recall, which
-is measured on edited copies of the items themselves. Windows are laid where an item's rarest words stand: of n/5 + 1
-of them at least one survives n/5 edits, so this placement loses no passage. What passes is verified exactly.
+is measured on edited copies of the items themselves; where it can't be reached, every window is verified. Windows are
+laid where an item's rarest words stand: of n/5 + 1 of them at least one survives n/5 edits, so this placement loses no
+passage. What passes is verified exactly.
+
+The words of all items are counted in one pass over the texts. The items are searched for in blocks whose size is
+bounded by words; each block is one more pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabula.llm.shared import small_batches
+from tabula.llm.shared import kept, small_batches
 from tabula.llm.tokens import LETTER_BYTES, owners, word_hashes, word_spans
 
-#: Items handled in one pass over the texts: what is broadcast stays below this many items.
-BLOCK_ITEMS = 5000
+#: Item words searched for in one pass over the texts (one item at least), about 25 bytes each in the broadcast, and
+#: distinct item words counted in one pass.
+BLOCK_WORDS, COUNTED_WORDS = 2_000_000, 4_000_000
 #: Edits per word of an item, sampled positions of a repetition, most repetitions, wanted recall.
 EDITS, SAMPLES, REPETITIONS, RECALL = 0.2, 3, 64, 0.98
 #: Bytes of text handled at once.
@@ -69,23 +75,24 @@ class ItemIndex:
     repetitions: int = REPETITIONS
 
     @classmethod
-    def build(cls, ids: list, texts: list[np.ndarray], counts: dict[int, int]) -> ItemIndex:
-        """`counts`: how often each word occurs in the corpus; the rarest words of an item place its windows."""
+    def build(cls, ids: list, texts: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray]) -> ItemIndex:
+        """`counts`: sorted words and how often each occurs in the corpus; the rarest words of an item place its windows."""
         size = np.array([len(t) for t in texts], dtype=np.int64)
-        first = np.r_[0, np.cumsum(size)[:-1]]
-        laid = []
-        for n, words in enumerate(texts):
-            rare = sorted(range(len(words)), key=lambda k: (counts.get(int(words[k]), 0), k))
-            laid += [(int(words[k]), n, k) for k in rare[: edits_allowed(len(words)) + 1]]
-        laid.sort()
-        word = np.array([x[0] for x in laid], dtype=np.uint64)
-        anchors, begin = np.unique(word, return_index=True)
+        first = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+        words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
+        known, often = counts
+        slot = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+        count = np.where(known[slot] == words, often[slot], 0) if len(known) else np.zeros(len(words), np.int64)
+        owner = np.repeat(np.arange(len(texts)), size)
+        place = np.arange(len(words)) - first[owner] if len(words) else np.zeros(0, np.int64)
+        rarest = np.lexsort((place, count, owner))
+        allowed = (size * EDITS + 1e-9).astype(np.int64)
+        rarest = rarest[place <= allowed[owner]] if len(words) else rarest  # place is also the rank within the item
+        laid = rarest[np.lexsort((place[rarest], owner[rarest], words[rarest]))]
+        anchors, begin = np.unique(words[laid], return_index=True)
         table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         table[anchors >> np.uint64(64 - _TABLE_BITS)] = True
-        out = cls(
-            ids, np.concatenate(texts) if texts else np.zeros(0, np.uint64), first, size, anchors, np.r_[begin, len(laid)],
-            np.array([x[1] for x in laid], dtype=np.int64), np.array([x[2] for x in laid], dtype=np.int64), table,
-        )
+        out = cls(ids, words, first, size, anchors, np.r_[begin, len(laid)], owner[laid], place[laid], table)
         out.repetitions = out.enough_repetitions()
         return out
 
@@ -113,8 +120,8 @@ class ItemIndex:
     def colliding(
         self, words: np.ndarray, begin: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, repetitions: int
     ) -> np.ndarray:
-        """Which windows share all sampled positions of some repetition with their item."""
-        found = np.zeros(len(begin), dtype=bool)
+        """Which windows share all sampled positions of some repetition with their item; all of them without repetitions."""
+        found = np.full(len(begin), repetitions == 0)
         for rep in range(repetitions):
             rng = np.random.default_rng(1000 + rep)
             depth = np.sort(rng.random(SAMPLES))
@@ -144,7 +151,8 @@ class ItemIndex:
         return found
 
     def enough_repetitions(self, trials: int = 400) -> int:
-        """The fewest repetitions with which RECALL of edited copies of items, with all edits that are allowed, are found."""
+        """The fewest repetitions with which RECALL of edited copies of items, with all edits that are allowed, are
+        found; 0, for no hashing at all, where REPETITIONS of them are too few."""
         rng = np.random.default_rng(7)
         busy = np.flatnonzero(self.size > 0)
         if not len(busy):
@@ -169,11 +177,11 @@ class ItemIndex:
         owner = np.repeat(np.arange(trials), [len(b) for b in begin])
         args = [np.concatenate(x) for x in (begin, item, low, high)]
         flat = np.concatenate([np.array(p, dtype=np.uint64) for p in parts])
-        for repetitions in range(1, REPETITIONS):
+        for repetitions in range(1, REPETITIONS + 1):
             hit = self.colliding(flat, *args, repetitions)
             if len(np.unique(owner[hit])) >= RECALL * trials:
                 return repetitions
-        return REPETITIONS
+        return 0
 
 
 def _grouped(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -195,48 +203,75 @@ def _hashed(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarr
     return joined, begins, ends, word_hashes(data, begins, ends), doc
 
 
-def _word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
-    """How often each word of `vocabulary` (sorted hashes) occurs in the texts; a task sends one number per word."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _vocabulary(items: DataFrame) -> DataFrame:
+    """(part, word): the distinct hashed words of the items' column text, in parts of at most about COUNTED_WORDS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
-        table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-        table[known >> np.uint64(64 - _TABLE_BITS)] = True
-        total = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
             for _, texts in _grouped(batch.column("text").to_pylist()):
-                words = _hashed(texts)[3]
-                words = words[table[words >> np.uint64(64 - _TABLE_BITS)]]
-                slot = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                total += np.bincount(slot[known[slot] == words], minlength=len(known))
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_hashed(texts)[3]).view(np.int64))], ["word"])
+
+    words = kept(items.select("text").mapInArrow(run, "word long").distinct(), "benchmark-words")
+    parts = -(-words.count() // COUNTED_WORDS)
+    return words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(max(1, parts))))
+
+
+def _word_counts(docs: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The items' distinct hashed words, sorted, and how often each occurs in the texts.
 
-    sums = docs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    return {int(vocabulary[r["k"]]): r["n"] for r in sums}
+    A task sends one number for each word it met. The driver holds 16 bytes for each word of the benchmark.
+    """
+    vocabulary = _vocabulary(items)
+    found = []
+    for part in sorted(r["part"] for r in vocabulary.select("part").distinct().collect()):
+        words = np.sort(np.array([r["word"] for r in vocabulary.filter(F.col("part") == part).select("word").collect()], np.int64).view(np.uint64))
+        held = docs.sparkSession.sparkContext.broadcast(words)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known = held.value
+            table = np.zeros(1 << _TABLE_BITS, dtype=bool)
+            table[known >> np.uint64(64 - _TABLE_BITS)] = True
+            total = np.zeros(len(known), dtype=np.int64)
+            for batch in batches:
+                for _, texts in _grouped(batch.column("text").to_pylist()):
+                    words = _hashed(texts)[3]
+                    words = words[table[words >> np.uint64(64 - _TABLE_BITS)]]
+                    slot = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                    total += np.bincount(slot[known[slot] == words], minlength=len(known))
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["k", "n"])
+
+        sums = docs.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+        often = np.zeros(len(words), dtype=np.int64)
+        often[[r["k"] for r in sums]] = [r["n"] for r in sums]
+        found.append((words, often))
+    words, often = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, t) for n, t in enumerate((np.uint64, np.int64)))
+    order = np.argsort(words)
+    return words[order], often[order]
 
 
 @dataclass
 class Searcher:
-    """An index and the words of its items, for finding the items of one block in texts."""
+    """An index and the spelling of its items' words, for finding the items of one block in texts."""
 
     index: ItemIndex
-    spelled: list[list[bytes]]
+    joined: bytes
+    begins: np.ndarray
+    ends: np.ndarray
 
     @classmethod
-    def build(cls, docs: DataFrame, ids: list, texts: list[str]) -> Searcher:
-        """`docs` has the column text, whose words are counted."""
+    def build(cls, ids: list, texts: list[str], counts: tuple[np.ndarray, np.ndarray]) -> Searcher:
         joined, begins, ends, words, owner = _hashed([t.lower().encode("utf-8", "replace") for t in texts])
-        strings = [joined[a:b] for a, b in zip(begins, ends)]
-        mine = [np.flatnonzero(owner == n) for n in range(len(ids))]
-        used = [n for n in range(len(ids)) if len(mine[n])]
-        counts = _word_counts(docs, np.unique(words)) if used else {}
-        index = ItemIndex.build([ids[n] for n in used], [words[mine[n]] for n in used], counts)
-        return cls(index, [[strings[k] for k in mine[n]] for n in used])
+        used, at = np.unique(owner, return_index=True)
+        index = ItemIndex.build([ids[n] for n in used], np.split(words, at[1:]) if len(used) else [], counts)
+        return cls(index, joined, begins, ends)
+
+    def spelled(self, item: int) -> list[bytes]:
+        own = slice(self.index.first[item], self.index.first[item] + self.index.size[item])
+        return [self.joined[a:b] for a, b in zip(self.begins[own].tolist(), self.ends[own].tolist())]
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """(position of the text, item, edits, first word) of every item in every text."""
-        for start, group in _grouped(texts) if self.spelled else ():
+        for start, group in _grouped(texts) if len(self.index.size) else ():
             joined, begins, ends, words, doc = _hashed(group)
             if not len(words):
                 continue
@@ -249,9 +284,10 @@ class Searcher:
                 key = (int(doc[here]), n)
                 if best.get(key, (1, 0))[0] == 0:
                     continue
-                slack = edits_allowed(len(self.spelled[n]))
-                a, b = max(int(low[here]), at - slack), min(int(high[here]), at + len(self.spelled[n]) + slack)
-                edits = best_match(self.spelled[n], [joined[x:y] for x, y in zip(begins[a:b], ends[a:b])], slack)
+                size = int(self.index.size[n])
+                slack = edits_allowed(size)
+                a, b = max(int(low[here]), at - slack), min(int(high[here]), at + size + slack)
+                edits = best_match(self.spelled(n), [joined[x:y] for x, y in zip(begins[a:b], ends[a:b])], slack)
                 if edits is not None and (edits, at) < best.get(key, (1 << 30, 0)):
                     best[key] = (edits, at)
             for (d, n), (edits, at) in sorted(best.items()):
@@ -259,16 +295,21 @@ class Searcher:
 
 
 def searchers(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> Iterator[Searcher]:
-    """One searcher for each block of BLOCK_ITEMS items."""
+    """One searcher for each block of items of BLOCK_WORDS words; `docs` has the column text, whose words are counted."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    block: list = []
-    for row in [*items.filter(F.col("text").isNotNull()).distinct().toLocalIterator(), None]:
+    items = kept(items.filter(F.col("text").isNotNull()).distinct(), "benchmark-items")
+    counts = _word_counts(docs.select("text"), items)
+    if not len(counts[0]):
+        return
+    block, held = [], 0
+    for row in chain(items.orderBy(F.col("item_id").asc_nulls_last(), "text").toLocalIterator(), [None]):
+        words = 0 if row is None else len(row["text"].split())
+        if block and (row is None or held + words > BLOCK_WORDS):
+            yield Searcher.build([r["item_id"] for r in block], [r["text"] for r in block], counts)
+            block, held = [], 0
         if row is not None:
             block.append(row)
-        if block and (row is None or len(block) == BLOCK_ITEMS):
-            block.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-            yield Searcher.build(docs, [r["item_id"] for r in block], [r["text"] for r in block])
-            block = []
+            held += words
 
 
 def contamination(
@@ -279,8 +320,8 @@ def contamination(
     edits is the least number of word edits (at most a fifth of the item's words) between the item and a stretch of
     the document; word_at is about where it begins. Case and punctuation do not count. Items of fewer than five words
     match exactly; null items, items without words and null or blank texts match nothing. Of items with equal ids each
-    text is searched for. Items are searched for in blocks of BLOCK_ITEMS, each in two passes over all texts. Other
-    columns are not read.
+    text is searched for. Texts are read once to count words and once for each block of items. Other columns are not
+    read.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -294,7 +335,7 @@ def contamination(
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 rows = [
-                    (ids[d], held.value.index.ids[n], edits, len(held.value.spelled[n]), at)
+                    (ids[d], held.value.index.ids[n], edits, int(held.value.index.size[n]), at)
                     for d, n, edits, at in held.value.matches(batch.column("text").to_pylist())
                 ]
                 if rows:
@@ -318,10 +359,12 @@ def _marker(held):
 def decontaminated(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """The rows of `docs` in which no benchmark item is found."""
+    """The rows of `docs` in which no benchmark item is found. Between blocks of items the rows that are left are
+    written, so that a task holds one block at a time."""
     small_batches(docs.sparkSession)
-    clean = docs
+    clean, several = docs, False
     for searcher in searchers(docs.select(F.col(text).alias("text")), benchmark, item_id, item_text):
         held = docs.sparkSession.sparkContext.broadcast(searcher)
-        clean = clean.filter(~_marker(held)(F.col(text).cast("string")))
+        clean = (kept(clean, "decontaminated") if several else clean).filter(~_marker(held)(F.col(text).cast("string")))
+        several = True
     return clean

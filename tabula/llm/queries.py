@@ -116,29 +116,56 @@ def _sql_rows(rows) -> str:
     return ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in row) + ")" for row in rows)
 
 
+def _license_signs() -> str:
+    """The telling signs of the templates and their places, from the templates' words."""
+    ratio, known = licenses.DICE / (2 - licenses.DICE), []
+    for n, (_, body) in enumerate(licenses.TEMPLATES):
+        words = "".join(c if c.isalnum() else " " for c in body.lower()).split()
+        known.append((n, words, list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))))
+    return ", ".join(f"('{s}', {t}, {place}, {many})" for s, t, place, many in licenses.sign_places(known, ratio))
+
+
 ORACLE_SQL["op4_licenses"] = (
     r"""
-WITH bodies(license, body) AS (VALUES """
-    + _sql_rows(licenses.TEMPLATES)
+WITH bodies(t, license, body) AS (VALUES """
+    + _sql_rows((n, *row) for n, row in enumerate(licenses.TEMPLATES))
+    + r"""),
+signs(sign, t, place, many) AS (VALUES """
+    + _license_signs()
     + r"""),
 template_words AS (
-  SELECT license, string_split(trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM bodies),
+  SELECT CAST(t AS INTEGER) AS t, license, string_split(trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM bodies),
 templates AS (
-  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS t
+  SELECT t, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
   FROM template_words),
+docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
 cut AS (
-  SELECT doc_id, unnest(list_concat(string_split(text, chr(10)),
+  SELECT row, doc_id, unnest(list_concat(string_split(text, chr(10)),
       list_filter(regexp_split_to_array(text, '\n[ \t\r]*\n[ \t\r\n]*'), lambda p: contains(p, chr(10))))) AS unit
-  FROM documents),
-words AS (
-  SELECT doc_id, row_number() OVER () AS u,
-         string_split(trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM cut),
-grams AS (
-  SELECT doc_id, u, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-  FROM words WHERE len(w) >= 2),
-compared AS (
-  SELECT doc_id, u, license, 2.0 * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice FROM grams, templates)
-SELECT doc_id, license, CAST(round(max(dice), 6) AS DOUBLE) AS dice, count(DISTINCT u) AS units
+  FROM docs),
+unit_words AS (
+  SELECT row, doc_id, row_number() OVER () AS spot, string_split(trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM cut),
+text_words AS (
+  SELECT row, doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM docs),
+hits AS (
+  SELECT row, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM text_words WHERE len(w) >= 2),
+laid AS (
+  SELECT h.row, h.doc_id, greatest(i - place, 1) AS spot, t, w[greatest(i - place, 1) : least(i - place + many - 1, len(w))] AS w
+  FROM (SELECT *, w[i] AS sign FROM hits UNION ALL SELECT *, w[i] || ' ' || w[i + 1] FROM hits) h JOIN signs USING (sign)),
+unit_grams AS (
+  SELECT row, doc_id, spot, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM unit_words WHERE len(w) >= 2),
+window_grams AS (
+  SELECT row, doc_id, spot, t, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT DISTINCT row, doc_id, spot, t, w FROM laid) WHERE len(w) >= 2),
+paired AS (
+  SELECT row, doc_id, 'unit' AS kind, spot, license, g, grams FROM unit_grams
+    JOIN templates ON 3 * len(g) >= 2 * len(grams) AND 2 * len(g) <= 3 * len(grams)
+  UNION ALL SELECT row, doc_id, 'window', spot, license, g, grams FROM window_grams JOIN templates USING (t)),
+compared AS (SELECT *, 2.0 * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice FROM paired)
+SELECT doc_id, license, CAST(round(max(dice), 6) AS DOUBLE) AS dice, count(DISTINCT spot) FILTER (kind = 'unit') AS units,
+  count(DISTINCT (row, spot)) FILTER (kind = 'window') AS windows
 FROM compared WHERE dice >= 0.8 GROUP BY doc_id, license
 """
 )
@@ -151,16 +178,14 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op1_topk"] = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE)))) AS e
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-  GROUP BY vec_id),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row AND len(q.e) = len(c.e)),
 ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+  SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 

@@ -1,14 +1,16 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Every vector carries its distances to a fixed set of pivots, the pivot table. By the triangle inequality the largest
-difference of two vectors' pivot distances bounds their distance from below, and with their norms their inner product
-from above. Queries and candidates meet block by block; within a block each query evaluates its candidates in the order
-of their bounds and stops, exactly, where no bound reaches the k-th best score found. The block results of a query are
-ranked together at the end.
+Distances to many pivots, the pivot table, bound distances between vectors: by the triangle inequality the largest
+difference of two vectors' pivot distances is a lower bound of their distance, and with their norms gives an upper bound
+of their inner product. Vectors are dealt into blocks by their nearest pivot. A query first meets the block that it lies
+in, which gives it a k-th best score to begin with, and then all other blocks. In a block it evaluates the candidates
+whose bounds reach its k-th best score, in the order of their bounds, and stops, exactly, where no bound does. The block
+results of a query are ranked together at the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +20,13 @@ from pyspark.sql import functions as F
 
 from tabula.llm.shared import kept
 
-#: Pivots, and the vectors among which they are picked (those of the smallest hashes).
-PIVOTS, PIVOT_SAMPLE = 16, 512
-#: Most queries and candidates of a block; candidates of a block that are worth a task; the first batch of candidates.
-QUERY_BLOCK, CANDIDATE_BLOCK, WORTHWHILE, FIRST_BATCH = 4096, 32768, 4096, 256
+#: Pivots: PIVOT_GROWTH times the root of the rows, within bounds. They are picked among so many times as many vectors,
+#: those of the smallest hashes, of SAMPLE_BYTES at most.
+PIVOT_GROWTH, FEWEST_PIVOTS, MOST_PIVOTS, PIVOT_SAMPLE, SAMPLE_BYTES = 2, 16, 256, 4, 64 << 20
+#: Bounds are taken first with the pivots that lie nearest to the query, then with all.
+NEAREST = 16
+#: Bytes of the queries and of the candidates of a block; candidates that are worth a task; the first batch evaluated.
+QUERY_BYTES, CANDIDATE_BYTES, WORTHWHILE, FIRST_BATCH = 16 << 20, 16 << 20, 4096, 256
 SCALE = 64
 
 
@@ -54,112 +59,177 @@ def _saturated(value: int) -> int:
     return max(-(1 << 63), min((1 << 63) - 1, value))
 
 
+def score_bounds(norms: np.ndarray, table: np.ndarray, norm: float, far: np.ndarray, slack: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates whose upper bounds of the inner product reach `least`, and these bounds. `table` has a row of
+    candidate distances for each pivot, `far` the query's own."""
+    near = np.argsort(far)[:NEAREST]
+    alive, low = np.arange(len(norms)), np.zeros(len(norms))
+    for pivots in (near, np.setdiff1d(np.arange(len(far)), near)):
+        whole = len(alive) == len(norms)
+        for p in pivots:
+            np.maximum(low, np.abs((table[p] if whole else table[p, alive]) - far[p]), out=low)
+        keep = (norm + norms[alive] - low**2) / 2 + slack >= least
+        alive, low = alive[keep], low[keep]
+    return alive, (norm + norms[alive] - low**2) / 2 + slack
+
+
 def block_search(
-    ids: np.ndarray, vectors: np.ndarray, distances: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
-    query_distances: np.ndarray, k: int,
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query id, ids, scores) of the k best candidates of a block for each query, ties to smaller ids."""
+    rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, least: np.ndarray,
+    pivots: np.ndarray, k: int,
+) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(positions, scores, evaluated) of the k best candidates of a block for each query, ties to smaller ids.
+
+    `rows` tells candidates apart, `ids` breaks ties, and `least` is a k-th best score that is known of each query.
+    """
     norms, query_norms = (vectors**2).sum(1), (queries**2).sum(1)
     largest = float(np.sqrt(norms.max(initial=0)) * np.sqrt(query_norms.max(initial=0)))
     exact = largest < 2**52
     kind = np.float32 if largest < 2**23 else np.float64 if exact else object
+    table, far = np.ascontiguousarray(pivot_distances(vectors, pivots).T), pivot_distances(queries, pivots)
     if not exact:
         vectors, queries = (np.vectorize(int, otypes=[object])(m) if m.size else m.astype(object) for m in (vectors, queries))
-    data, asked, table = vectors.astype(kind), queries.astype(kind), np.ascontiguousarray(distances.T)
+    data, asked = vectors.astype(kind), queries.astype(kind)
     slack = 1e-9 * (norms.max(initial=0) + query_norms.max(initial=0)) + 1e-6
-    for n, own in enumerate(query_ids):
+    for n, own in enumerate(query_rows):
+        kth = float(least[n])
         if exact:
-            low = np.zeros(len(ids))
-            for pivot in range(len(table)):
-                np.maximum(low, np.abs(table[pivot] - query_distances[n, pivot]), out=low)
-            bound = (query_norms[n] + norms - low**2) / 2 + slack
+            order, bound = score_bounds(norms, table, query_norms[n], far[n], slack, kth)
+            by_bound = np.argsort(-bound, kind="stable")
+            order, bound = order[by_bound], bound[by_bound]
         else:
-            bound = np.full(len(ids), np.inf)
-        order = np.argsort(-bound, kind="stable")
-        order = order[ids[order] != own]
-        bound, scores, at, batch = bound[order], np.zeros(len(order), dtype=kind), 0, FIRST_BATCH
-        kth = -np.inf
-        while at < len(order) and (at < k or bound[at] >= kth):
+            order, bound = np.arange(len(rows)), np.full(len(rows), np.inf)
+        other = rows[order] != own
+        order, bound = order[other], bound[other]
+        scores, at, batch = np.zeros(len(order), dtype=kind), 0, FIRST_BATCH
+        while at < len(order) and bound[at] >= kth:
             stop = min(at + batch, len(order))
             scores[at:stop] = data[order[at:stop]] @ asked[n]
             at, batch = stop, 2 * batch
-            if at >= k:
-                kth = np.partition(scores[:at].astype(np.float64), at - k)[at - k] if exact else -np.inf
+            if at >= k and exact:
+                kth = max(kth, np.partition(scores[:at].astype(np.float64), at - k)[at - k])
         seen = ids[order[:at]]
         best = np.lexsort((seen, -scores[:at].astype(np.float64))) if exact else np.array(
             sorted(range(at), key=lambda i: (-_saturated(scores[i]), seen[i])), dtype=np.int64
         )
         top = best[:k]
-        yield int(own), seen[top], np.array([_saturated(int(s)) for s in scores[top]], dtype=np.int64)
-
-
-def search(
-    vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int = PIVOTS
+        yield order[top], np.array([_saturated(int(s)) for s in scores[top]], dtype=np.int64), at
+
+
+def dealt_blocks(counts: dict[tuple[int, int], int], blocks: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(dim, home, base, pieces, low, high): the blocks `base` to `base + pieces - 1` of the vectors that are nearest to
+    a pivot, and the range of blocks of their length. Small neighbours share a block; a pivot with more vectors than a
+    block should have, such as one of many equal vectors, has several."""
+    target, out, at = max(1, -(-sum(counts.values()) // blocks)), [], 0
+    for dim in sorted({d for d, _ in counts}):
+        low, filled, own = at, 0, []
+        for home in sorted(h for d, h in counts if d == dim):
+            n = counts[(dim, home)]
+            if filled and filled + n > target:
+                at, filled = at + 1, 0
+            pieces = max(1, -(-n // target))
+            own.append((dim, home, at, pieces))
+            at, filled = (at, filled + n) if pieces == 1 else (at + pieces, 0)
+        at += filled > 0
+        out += [(*o, low, at) for o in own]
+    return out
+
+
+def block_results(
+    vectors: DataFrame, k: int, every: int, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int | None = None
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest scores for every vector whose id is divisible by `every`.
-
-    Components x become floor(64 x) in doubles; the score is the integer inner product with every other row, ranks
-    start at 1 and ties go to the smaller id. Null ids and vectors that are null or hold null or non-finite components
-    take no part. Of rows with equal ids the smallest vector counts. Only vectors of equal length are compared; empty
-    ones score 0. Scores beyond 64 bits are the nearest 64-bit value,
-    also for the ranks. A query without other vectors has no rows. Other
-    columns are not read.
-    """
+    """(query_row, query_id, vec_id, score, evaluated): the best of every block that a query met."""
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     valid = (
-        vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-        .filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-        .groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-        .withColumn("dim", F.size("embedding"))
+        vectors.select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
+        .filter(F.col("embedding").isNotNull() & finite).withColumn("dim", F.size("embedding"))
     )
     valid = kept(valid, "topk-vectors")
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
+    facts = valid.agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).first()
+    n, widest = facts["n"], max(1, facts["dim"] or 1)
+    pivots = pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, int(PIVOT_GROWTH * math.sqrt(n))))
+    wanted = max(1, min(PIVOT_SAMPLE * pivots, SAMPLE_BYTES // (8 * widest)))
+    sample = valid.orderBy(F.xxhash64("row"), "row").limit(wanted).collect()
     chosen: dict[int, np.ndarray] = {}
     for dim in sorted({r["dim"] for r in sample}):
         own = [r["embedding"] for r in sample if r["dim"] == dim]
-        chosen[dim] = farthest_first(quantised(pa.array(own, pa.list_(pa.float64()))), pivots)
+        far = farthest_first(quantised(pa.array(own, pa.list_(pa.float64()))), pivots)
+        chosen[dim] = far[np.argsort(pivot_distances(far, far[:1])[:, 0], kind="stable")]  # neighbours by number
+    of_dim = lambda dim, width: chosen.get(int(dim), np.zeros((0, width)))
 
-    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 part = batch.filter(pa.array(dims == dim))
                 whole = quantised(part.column("embedding"))
-                far = pivot_distances(whole, chosen.get(int(dim), np.zeros((0, whole.shape[1]))))
+                far = pivot_distances(whole, of_dim(dim, whole.shape[1]))
+                home = far.argmin(1) if far.shape[1] else np.zeros(len(part), dtype=np.int64)
                 offsets = np.arange(len(part) + 1, dtype=np.int32)
-                lists = [pa.ListArray.from_arrays(offsets * m.shape[1], m.ravel()) for m in (whole, far)]
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("dim"), *lists], ["vec_id", "dim", "vector", "far"])
-
-    pivoted = kept(valid.mapInArrow(table, "vec_id long, dim int, vector array<double>, far array<double>"), "topk-pivot-table")
-    n = pivoted.count()
-    query_blocks = max(1, -(-(n // every + 1) // QUERY_BLOCK))
+                vector = pa.ListArray.from_arrays(offsets * whole.shape[1], whole.ravel())
+                names = ["row", "vec_id", "dim", "home", "vector"]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("vec_id"), part.column("dim"), pa.array(home.astype(np.int32)), vector], names
+                )
+
+    homed = kept(valid.mapInArrow(place, "row long, vec_id long, dim int, home int, vector array<double>"), "topk-homes")
+    counts = {(r["dim"], r["home"]): r["count"] for r in homed.groupBy("dim", "home").count().collect()}
     spread = min(2 * spark.sparkContext.defaultParallelism, -(-n // WORTHWHILE))
-    candidate_blocks = max(1, -(-n // CANDIDATE_BLOCK), spread)
-    own_block = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    every_block = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = pivoted.filter(F.col("vec_id") % every == 0).select(
-        "dim", own_block(query_blocks).alias("qb"), every_block(candidate_blocks).alias("cb"), "vec_id", "vector", "far"
+    blocks = dealt_blocks(counts, max(1, -(-8 * n * widest // CANDIDATE_BYTES), spread))
+    of_home = spark.createDataFrame(blocks, "dim int, home int, base int, pieces int, low int, high int")
+    block = (F.col("base") + F.pmod(F.xxhash64("row"), F.col("pieces"))).cast("int")
+    placed = homed.join(F.broadcast(of_home), ["dim", "home"]).select("row", "vec_id", "dim", "vector", block.alias("block"), "low", "high")
+    placed = kept(placed, "topk-blocks")
+    queries = placed.toDF(*placed.columns).filter(F.col("vec_id") % every == 0)  # columns apart from those of the candidates
+    query_blocks = max(1, -(-8 * queries.count() * widest // QUERY_BYTES))
+
+    def meet(asked: pa.Table, candidates: pa.Table) -> pa.Table:
+        asked, candidates = asked.combine_chunks(), candidates.combine_chunks()
+        schema = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("evaluated", pa.int64())])
+        if not len(asked) or not len(candidates):
+            return schema.empty_table()
+        width = asked.column("dim")[0].as_py()
+        matrix = lambda side: side.column("vector").combine_chunks().flatten().to_numpy().reshape(len(side), width)
+        ids = candidates.column("vec_id")
+        parts = []
+        rows, query_ids = asked.column("row").to_numpy(), asked.column("vec_id").to_numpy()
+        searched = block_search(
+            candidates.column("row").to_numpy(), ids.fill_null((1 << 63) - 1).to_numpy(), matrix(candidates), rows, matrix(asked),
+            asked.column("least").fill_null(-np.inf).to_numpy(), of_dim(width, width), k,
+        )
+        for n, (at, scores, evaluated) in enumerate(searched):
+            own = [np.full(len(at), x) for x in (rows[n], query_ids[n])]
+            parts.append(pa.table([*own, ids.take(pa.array(at)), pa.array(scores), np.full(len(at), evaluated)], schema=schema))
+        return pa.concat_tables(parts)
+
+    names = "query_row long, query_id long, vec_id long, score long, evaluated long"
+    here = queries.select("dim", "block", "row", "vec_id", "vector", F.lit(None).cast("double").alias("least"))
+    keys = ["dim", "block"]
+    first = kept(
+        here.groupBy(*keys).cogroup(placed.select(*keys, "row", "vec_id", "vector").groupBy(*keys)).applyInArrow(meet, names), "topk-own-blocks"
     )
-    searched = pivoted.select(
-        "dim", every_block(query_blocks).alias("qb"), own_block(candidate_blocks).alias("cb"), "vec_id", "vector", "far"
+    known = first.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("least"))
+    keys = ["dim", "query_block", "block"]
+    elsewhere = F.filter(F.sequence(F.col("low"), F.col("high") - 1), lambda b: b != F.col("block"))
+    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("row"), F.lit(query_blocks)).cast("int")).join(known, "row", "left").select(
+        "dim", "query_block", F.explode(elsewhere).alias("block"), "row", "vec_id", "vector", "least"
     )
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block")
+    searched = placed.select("dim", every_block, "block", "row", "vec_id", "vector")
+    return first.unionByName(asked.groupBy(*keys).cogroup(searched.groupBy(*keys)).applyInArrow(meet, names))
 
-    def meet(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        parts = []
-        for side in (candidates, queries):
-            side = side.combine_chunks()
-            lists = [side.column(c).combine_chunks() for c in ("vector", "far")]
-            matrices = [a.flatten().to_numpy().reshape(len(side), -1) if len(side) else np.zeros((0, 0)) for a in lists]
-            parts += [side.column("vec_id").to_numpy(), *matrices]
-        found = list(block_search(*parts, k)) if len(parts[0]) and len(parts[3]) else []
-        return pa.table({
-            "query_id": pa.array(np.concatenate([np.full(len(f[1]), f[0]) for f in found] or [np.zeros(0, np.int64)]), pa.int64()),
-            "vec_id": pa.array(np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)]), pa.int64()),
-            "score": pa.array(np.concatenate([f[2] for f in found] or [np.zeros(0, np.int64)]), pa.int64()),
-        })
-
-    keys = ("dim", "qb", "cb")
-    best = asked.groupBy(*keys).cogroup(searched.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+def search(
+    vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", pivots: int | None = None
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k highest scores for every row whose id is divisible by `every`.
+
+    Components x become floor(64 x) in doubles; the score is the integer inner product with every other row, ranks
+    start at 1 and ties go to the smaller id, null ids last. Vectors that are null or hold null or non-finite components
+    take no part. Rows with equal ids are rows of their own, as queries and as candidates; a row without an id is a
+    candidate. Only vectors of equal length are compared; empty ones score 0. Scores beyond 64 bits are the nearest
+    64-bit value, also for the ranks. A query without other vectors has no rows. Other columns are not read.
+    """
+    best = block_results(vectors, k, every, vec_id, embedding, pivots)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,9 +1,11 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams, each with an embedding. The embeddings of a text's worst words are averaged
-and classified by a linear softmax, and both are trained jointly in numpy. Misspellings and inflections that were never
-seen share n-grams with what was seen. As many words count in a long text as in a short one, so a single insult among
-thousands of words counts; training follows the same rule.
+A word is the bag of its character n-grams, each with an embedding. The embeddings of a passage are averaged, word by
+word, and classified by a linear softmax; both are trained jointly in numpy. Misspellings and inflections that were
+never seen share n-grams with what was seen. A text is cut into overlapping passages of equal length that cover all of
+it, and scored by its most toxic passage, so that a text of any length is judged by whole passages and an insult among
+thousands of clean words isn't averaged away. Training begins with whole texts as one bag each and goes on with the
+passage of each text that scores highest.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from tabula.llm.shared import bounded_sample, held_out, learnable, small_batches
 
 #: Embeddings, their length, n-gram lengths.
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
-#: Worst words that count in any text.
-WORST = 3
+#: Words of a passage, and from the beginning of one to that of the next.
+PASSAGE, STEP = 16, 8
 #: Share of n-grams left out at random in each training step, so that no n-gram stands for a word alone.
 DROPPED = 0.3
-#: Labelled documents of each class, and words of each of them, that training sees at most.
-PER_CLASS, TRAIN_WORDS = 4000, 600
-#: Texts of a training step, and the fewest steps, for few texts are learned in more epochs.
-MINIBATCH, LEAST_STEPS = 128, 400
+#: Labelled documents of each class that training sees at most, each with its whole text.
+PER_CLASS = 4000
+#: Texts of a training step, the fewest steps, for few texts are learned in more epochs, and misspellings of a word.
+MINIBATCH, LEAST_STEPS, VARIANTS = 128, 400, 3
 #: Word scores that a task keeps.
 CACHE = 400_000
 #: Letters of a run that are scored as one word.
@@ -52,11 +54,11 @@ def words_of(text: str | None) -> list[str]:
     return [w[at : at + PIECE] for w in found for at in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)]
 
 
-def worst_words(scores: np.ndarray) -> np.ndarray:
-    """Positions of the words that count, those with the highest scores."""
-    if len(scores) <= WORST:
-        return np.arange(len(scores))
-    return np.argpartition(scores, len(scores) - WORST)[-WORST:]
+def passage_begins(words: int) -> np.ndarray:
+    """First words of the passages of a text; the last passage ends with the text."""
+    if words <= PASSAGE:
+        return np.zeros(min(words, 1), dtype=np.int64)
+    return np.unique(np.r_[np.arange(0, words - PASSAGE, STEP), words - PASSAGE])
 
 
 class _WordScores(dict):
@@ -82,8 +84,8 @@ class SubwordModel:
     bias: float
 
     def scorer(self):
-        """A function from a text to the probability of label 1 of its worst words; a text without words has that of
-        the bias alone."""
+        """A function from a text to the probability of label 1 of its most toxic passage; a text without words has
+        that of the bias alone. As the softmax is linear, a passage's log odds are the mean of its words' gains."""
         known = _WordScores(self.gain)
 
         def score(text: str | None) -> float:
@@ -91,7 +93,9 @@ class SubwordModel:
             odds = self.bias
             if words:
                 found = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                odds += float(found[worst_words(found)].mean())
+                begins, size = passage_begins(len(words)), min(PASSAGE, len(words))
+                sums = np.r_[0.0, np.cumsum(found)]
+                odds += float((sums[begins + size] - sums[begins]).max()) / size
             return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
         return score
@@ -112,60 +116,107 @@ def _misspell(word: str, rng: np.random.Generator) -> str:
     return word[:i] + word[i + 1] + word[i] + word[i + 2 :]
 
 
+@dataclass
+class Bags:
+    """Bags of embedding numbers, one after another."""
+
+    flat: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[str]) -> Bags:
+        bags = [subwords(w) for w in words]
+        size = np.array([len(b) for b in bags], dtype=np.int64)
+        return cls(np.array([k for b in bags for k in b], dtype=np.int64), np.r_[0, np.cumsum(size)[:-1]], size)
+
+    def gather(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embedding numbers of the chosen bags, and which of the chosen each belongs to."""
+        size = self.size[chosen]
+        owner = np.repeat(np.arange(len(chosen)), size)
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return self.flat[self.first[chosen][owner] + inside], owner
+
+
+@dataclass
+class Softmax:
+    """Embeddings and the linear softmax above their weighted means."""
+
+    embed: np.ndarray
+    out: np.ndarray
+    bias: np.ndarray
+
+    def slopes(self, k: np.ndarray, row: np.ndarray, part: np.ndarray, labels: np.ndarray, share: np.ndarray):
+        """Gradients of the weighted mean cross entropy: touched embeddings, theirs, that of `out` and of `bias`.
+        Entry n of the bags adds `part[n]` times embedding `k[n]` to the mean of text `row[n]`."""
+        mean = np.stack([np.bincount(row, part * self.embed[k, d], len(labels)) for d in range(self.embed.shape[1])], axis=1)
+        logits = mean @ self.out + self.bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        slope = (p - np.eye(2)[labels]) * share[:, None] / len(labels)
+        d_mean = slope @ self.out.T
+        touched, where = np.unique(k, return_inverse=True)
+        g = np.stack([np.bincount(where, part * d_mean[row, d], len(touched)) for d in range(self.embed.shape[1])], axis=1)
+        return touched, g, mean.T @ slope, slope.sum(0)
+
+    def gain(self) -> np.ndarray:
+        return self.embed @ (self.out[:, 1] - self.out[:, 0])
+
+
 def train(texts: list[list[str]], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, rate: float = 0.3, seed: int = 0):
-    """Adagrad on the weighted cross entropy of each text's worst words; a copy with misspelt words is learned beside
-    them. The first epochs take whole texts, since no word stands out yet."""
+    """Adagrad on the weighted cross entropy of whole texts, in the first epochs, and then of each text's most toxic
+    passage, beside which a copy with misspelt words is learned."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], dtype=np.int64) for t in texts]
-    bags = [np.array(subwords(w), dtype=np.int64) for w in vocabulary]
-    names = list(vocabulary)
-    flat, sizes = np.concatenate(bags), np.array([len(b) for b in bags])
-    first = np.r_[0, np.cumsum(sizes)[:-1]]
-    embed = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
-    out, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    names, n_words = list(vocabulary), len(vocabulary)
+    bags = Bags.of(names + [_misspell(w, rng) for _ in range(VARIANTS) for w in names])
+    size = np.array([len(c) for c in coded])
+    start, flat = np.r_[0, np.cumsum(size)[:-1]], np.concatenate(coded)
+    cut = [passage_begins(n) for n in size]
+    passage = np.concatenate([c + s for c, s in zip(cut, start)])
+    first, length = np.r_[0, np.cumsum([len(c) for c in cut])[:-1]], np.minimum(size, PASSAGE)
+    length_of = np.repeat(length, [len(c) for c in cut])
+    model = Softmax(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2))
     sq_embed, sq_out, sq_bias = np.full(BUCKETS, 1e-3), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
     share = weights / weights.mean()
     epochs = max(epochs, -(-LEAST_STEPS // -(-len(coded) // MINIBATCH)))
     warm = epochs // 5
     for epoch in range(epochs):
-        gain = embed @ (out[:, 1] - out[:, 0])
-        word = np.add.reduceat(gain[flat], first) / sizes
+        whole = epoch < warm
+        if whole:
+            begin, many = start, size
+        else:
+            k, owner = bags.gather(np.arange(n_words))
+            word = np.bincount(owner, model.gain()[k], n_words) / bags.size[:n_words]
+            sums = np.r_[0.0, np.cumsum(word[flat])]
+            odds = (sums[passage + length_of] - sums[passage]) / length_of
+            top = np.repeat(np.maximum.reduceat(odds, first), np.diff(np.r_[first, len(odds)]))
+            at = np.minimum.reduceat(np.where(odds >= top, np.arange(len(odds)), len(odds)), first)
+            begin, many = passage[at], length
         order = rng.permutation(len(coded))
         for at in range(0, len(order), MINIBATCH):
-            chosen_bags, owner, weight, slots = [], [], [], []
-            for n in order[at : at + MINIBATCH]:
-                chosen = coded[n] if epoch < warm else coded[n][worst_words(word[coded[n]])]
-                for copy in (False,) if epoch < warm else (False, True):
-                    row = len(slots)
-                    slots.append(n)
-                    for w in chosen.tolist():
-                        own = bags[w]
-                        if copy and rng.random() < 0.5:
-                            own = np.array(subwords(_misspell(names[w], rng)), dtype=np.int64)
-                        chosen_bags.append(own)
-                        owner.append(row)
-                        weight.append(1 / (len(own) * len(chosen)))
-            k, lengths = np.concatenate(chosen_bags), np.array([len(own) for own in chosen_bags])
-            row, part = np.repeat(owner, lengths), np.repeat(weight, lengths)
-            part = part * (rng.random(len(k)) >= DROPPED) / (1 - DROPPED)
-            mean = np.stack([np.bincount(row, part * embed[k, d], len(slots)) for d in range(DIM)], axis=1)
-            logits = mean @ out + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            slope = p - np.eye(2)[labels[slots]]
-            slope *= share[slots][:, None]
-            d_out, d_bias, d_mean = mean.T @ slope / len(slots), slope.mean(0), slope @ out.T
-            touched, where = np.unique(k, return_inverse=True)
-            g = np.stack([np.bincount(where, part * d_mean[row, d], len(touched)) for d in range(DIM)], axis=1)
+            slots = order[at : at + MINIBATCH]
+            if not whole:
+                slots = np.r_[slots, slots]
+            row_of = np.repeat(np.arange(len(slots)), many[slots])
+            place = np.arange(len(row_of)) - np.repeat(np.cumsum(many[slots]) - many[slots], many[slots])
+            chosen = flat[begin[slots][row_of] + place]
+            if not whole:
+                bent = (row_of >= len(slots) // 2) & (rng.random(len(chosen)) < 0.5)
+                chosen = np.where(bent, chosen + n_words * rng.integers(1, VARIANTS + 1, len(chosen)), chosen)
+            k, owner = bags.gather(chosen)
+            row = row_of[owner]
+            part = (rng.random(len(k)) >= DROPPED) / (1 - DROPPED) / bags.size[chosen][owner] / many[slots][row]
+            touched, g, d_out, d_bias = model.slopes(k, row, part, labels[slots], share[slots])
+            g = g * len(slots)
             sq_embed[touched] += (g**2).mean(1)
-            embed[touched] -= rate * g / np.sqrt(sq_embed[touched])[:, None]
+            model.embed[touched] -= rate * g / np.sqrt(sq_embed[touched])[:, None]
             sq_out += d_out**2
             sq_bias += d_bias**2
-            out -= 0.1 * d_out / np.sqrt(sq_out)
-            bias -= 0.1 * d_bias / np.sqrt(sq_bias)
-    gain = embed @ (out[:, 1] - out[:, 0])
-    return SubwordModel(gain.astype(np.float32), float(bias[1] - bias[0]))
+            model.out -= 0.1 * d_out / np.sqrt(sq_out)
+            model.bias -= 0.1 * d_bias / np.sqrt(sq_bias)
+    return SubwordModel(model.gain().astype(np.float32), float(model.bias[1] - model.bias[0]))
 
 
 def fit(
@@ -174,9 +225,9 @@ def fit(
 ) -> SubwordModel | None:
     """Learn from labelled documents whose crc32(id) mod `modulus` is not `remainder`.
 
-    At most about `per_class` documents of each class, chosen by hash, are learned from, each from at most TRAIN_WORDS
-    words (a stretch that the id picks); the classes are weighted back to their shares. Null labels and ids are left
-    out, of several labels of one document the largest counts. None if there is nothing to learn from.
+    At most about `per_class` documents of each class, chosen by hash, are learned from with their whole texts; the
+    classes are weighted back to their shares. Null labels and ids are left out, of several labels of one document the
+    largest counts. None if there is nothing to learn from.
     """
     known = (
         labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -190,13 +241,8 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for n, text in zip(batch.column("_id").to_pylist(), batch.column("text").to_pylist()):
-                words = words_of(text)
-                spare = max(0, len(words) - TRAIN_WORDS)
-                begin = crc32(str(n).encode()) % (spare + 1)
-                out.append(" ".join(words[begin : begin + TRAIN_WORDS]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(out)], ["id", "y", "words"])
+            words = pa.array([" ".join(words_of(text)) for text in batch.column("text").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), words], ["id", "y", "words"])
 
     sample = rows.join(F.broadcast(chosen), "_id").select("_id", "_y", "text").mapInArrow(run, "id long, y int, words string")
     found = sorted((r["id"], r["y"], r["words"]) for r in sample.dropDuplicates(["id"]).collect() if r["words"])

@@ -64,9 +64,32 @@ def test_topk_is_exact(spark, scale):
 
 def test_topk_edges(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [float("nan"), 0.0]), (4, [0.5, 0.5]), (4, [0.5, 0.5]), (5, [1.0]), (None, [1.0, 1.0]), (20, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert [tuple(r) for r in topk.search(df, k=3, every=20).collect()] == [(0, 1, 4, 64 * 32 + 128 * 32)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    got = sorted((tuple(r) for r in topk.search(df, k=3, every=20).collect()), key=lambda r: r[1])
+    assert got == [(0, 1, None, 64 * 64 + 128 * 64), (0, 2, 4, 64 * 32 + 128 * 32), (0, 3, 4, 64 * 32 + 128 * 32)]
     assert topk.search(df.filter("false")).count() == 0
+    twice = spark.createDataFrame([(0, [1.0]), (0, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.search(twice, k=3).collect()] == [(0, 1, 0, 64 * 128)] * 2
+
+
+@pytest.mark.parametrize("same", [0, 300])
+def test_topk_blocks_and_thresholds_lose_nothing(spark, monkeypatch, same):
+    """Many blocks of clustered vectors, a third of them equal: thresholds that blocks inherit change no result."""
+    monkeypatch.setattr(topk, "WORTHWHILE", 40)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 8 * 5 * 20)
+    rng = random.Random(same)
+    centres = [[rng.gauss(0, 4) for _ in range(5)] for _ in range(12)]
+    vectors = {i: [rng.gauss(c, 0.3) for c in rng.choice(centres)] if i >= same else centres[0] for i in range(900)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    found = topk.block_results(df, 7, 10, pivots=40).cache()
+    assert found.groupBy("query_row").agg(F.sum("evaluated")).count() == 90
+    assert sorted(tuple(r) for r in topk.search(df, k=7, every=10, pivots=40).collect()) == brute_topk(vectors, 10, 7)
+
+
+def test_blocks_split_hot_pivots():
+    dealt = topk.dealt_blocks({(4, 0): 5, (4, 1): 1000, (4, 2): 5, (4, 3): 5, (7, 0): 3}, 10)
+    assert [d[:4] for d in dealt] == [(4, 0, 0, 1), (4, 1, 1, 10), (4, 2, 11, 1), (4, 3, 11, 1), (7, 0, 12, 1)]
+    assert {d[4:] for d in dealt} == {(0, 12), (12, 13)}
 
 
 # op2
@@ -148,6 +171,29 @@ def test_licenses(spark):
         licenses.scan(docs(spark, rows), templates=[("x", "one")])
 
 
+def test_licenses_inside_longer_lines_agree_with_sql(spark):
+    import duckdb
+
+    mit, bsd3 = licenses.TEMPLATES[20][1], licenses.TEMPLATES[22][1]
+    assert mit.startswith("Permission") and bsd3.startswith("Redistribution")
+    rows = [
+        (1, "All rights reserved.", "s"), (1, "All rights reserved.", "s"), (None, "All rights reserved.", "s"), (None, "ALL (rights) reserved", "s"),
+        (2, "Copyright (c) 2021 Foo Inc. All rights reserved. More prose follows here.", "s"),
+        (3, "words before it " * 40 + mit.replace("substantial", "large") + " and words after it" * 40, "s"),
+        (4, "x\n" + bsd3 + "\ny", "s"), (5, "Some file.\n// Licensed under\n// CC BY 4.0, see there\nend", "s"), (6, "", "s"), (7, None, "s"),
+        (8, "software " * 400, "s"), (9, "all rights", "s"), (10, "the rights reserved", "s"),
+    ]
+    df = docs(spark, rows)
+    found = {(r["doc_id"], r["license"]): (r["dice"], r["units"], r["windows"]) for r in licenses.scan(df).collect()}
+    assert found[(1, "all-rights-reserved")] == (1.0, 2, 2) and found[(None, "all-rights-reserved")] == (1.0, 2, 2)
+    assert found[(2, "all-rights-reserved")][1:] == (0, 1) and found[(3, "MIT")][0] > 0.95 and found[(4, "BSD-3-Clause")][0] == 1.0
+    assert found[(5, "CC-BY-4.0")][2] > 0 and not {d for d, _ in found} & {6, 7, 8, 9}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert {(r[0], r[1]): r[2:] for r in con.execute(ORACLE_SQL["op4_licenses"]).fetchall()} == found
+
+
 def test_license_pruning_loses_nothing(spark):
     rng = random.Random(2)
     templates = [(f"t{n}", " ".join(rng.choice(["alpha", "beta12", "gamma", "deltas", "of", "to", "in"]) for _ in range(rng.randint(3, 12)))) for n in range(12)]
@@ -166,7 +212,7 @@ def test_license_pruning_loses_nothing(spark):
             if d >= 0.8:
                 want[(i, name)] = max(want[(i, name)], round(d, 6))
     got = {(r["doc_id"], r["license"]): r["dice"] for r in licenses.scan(docs(spark, rows), templates=usable).collect()}
-    assert got == pytest.approx(dict(want))
+    assert set(want) <= set(got) and all(got[k] >= want[k] - 1e-9 for k in want)  # windows may add to whole lines
 
 
 # op5
