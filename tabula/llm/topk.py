@@ -23,7 +23,7 @@ from tabula.llm.shared import kept
 #: Pivots: PIVOT_GROWTH times the root of the rows, within bounds. They are picked among so many times as many vectors,
 #: those of the smallest hashes, of SAMPLE_BYTES at most.
 PIVOT_GROWTH, FEWEST_PIVOTS, MOST_PIVOTS, PIVOT_SAMPLE, SAMPLE_BYTES = 2, 16, 256, 4, 64 << 20
-#: Bounds are taken first with the pivots that lie nearest to the query, then with all.
+#: Bounds are taken with so many of the pivots, those that lie nearest to the query: they bound best.
 NEAREST = 16
 #: Bytes of the queries and of the candidates of a block; candidates that are worth a task; the first batch evaluated.
 QUERY_BYTES, CANDIDATE_BYTES, WORTHWHILE, FIRST_BATCH = 16 << 20, 16 << 20, 4096, 256
@@ -59,18 +59,14 @@ def _saturated(value: int) -> int:
     return max(-(1 << 63), min((1 << 63) - 1, value))
 
 
-def score_bounds(norms: np.ndarray, table: np.ndarray, norm: float, far: np.ndarray, slack: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates whose upper bounds of the inner product reach `least`, and these bounds. `table` has a row of
+def score_bounds(norms: np.ndarray, table: np.ndarray, norm: float, far: np.ndarray, slack: float) -> np.ndarray:
+    """Upper bounds of the inner products of a query with all candidates: the greatest difference of distances to the
+    NEAREST pivots, of all those there are, that lie nearest to the query, is the least distance. `table` has a row of
     candidate distances for each pivot, `far` the query's own."""
-    near = np.argsort(far)[:NEAREST]
-    alive, low = np.arange(len(norms)), np.zeros(len(norms))
-    for pivots in (near, np.setdiff1d(np.arange(len(far)), near)):
-        whole = len(alive) == len(norms)
-        for p in pivots:
-            np.maximum(low, np.abs((table[p] if whole else table[p, alive]) - far[p]), out=low)
-        keep = (norm + norms[alive] - low**2) / 2 + slack >= least
-        alive, low = alive[keep], low[keep]
-    return alive, (norm + norms[alive] - low**2) / 2 + slack
+    low = np.zeros(len(norms))
+    for p in np.argpartition(far, NEAREST)[:NEAREST] if len(far) > NEAREST else range(len(far)):
+        np.maximum(low, np.abs(table[p] - far[p]), out=low)
+    return (norm + norms - low * low) / 2 + slack
 
 
 def block_search(
@@ -92,21 +88,23 @@ def block_search(
     slack = 1e-9 * (norms.max(initial=0) + query_norms.max(initial=0)) + 1e-6
     for n, own in enumerate(query_rows):
         kth = float(least[n])
-        if exact:
-            order, bound = score_bounds(norms, table, query_norms[n], far[n], slack, kth)
-            by_bound = np.argsort(-bound, kind="stable")
-            order, bound = order[by_bound], bound[by_bound]
-        else:
-            order, bound = np.arange(len(rows)), np.full(len(rows), np.inf)
-        other = rows[order] != own
-        order, bound = order[other], bound[other]
-        scores, at, batch = np.zeros(len(order), dtype=kind), 0, FIRST_BATCH
-        while at < len(order) and bound[at] >= kth:
-            stop = min(at + batch, len(order))
-            scores[at:stop] = data[order[at:stop]] @ asked[n]
-            at, batch = stop, 2 * batch
-            if at >= k and exact:
-                kth = max(kth, np.partition(scores[:at].astype(np.float64), at - k)[at - k])
+        bound = score_bounds(norms, table, query_norms[n], far[n], slack) if exact else np.full(len(rows), np.inf)
+        bound[rows == own] = -np.inf
+        left = np.flatnonzero(bound >= max(kth, -1e300))
+        order, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=kind)
+        batch = FIRST_BATCH
+        while len(left):
+            if len(left) > batch:  # the next ones in the order of bounds
+                cut = np.argpartition(-bound[left], batch)
+                now, left = left[cut[:batch]], left[cut[batch:]]
+            else:
+                now, left = left, left[:0]
+            order, scores = np.r_[order, now], np.r_[scores, data[now] @ asked[n]]
+            if len(order) >= k and exact:
+                kth = max(kth, float(np.partition(scores.astype(np.float64), len(order) - k)[len(order) - k]))
+                left = left[bound[left] >= kth]
+            batch *= 4
+        at = len(order)
         seen = ids[order[:at]]
         best = np.lexsort((seen, -scores[:at].astype(np.float64))) if exact else np.array(
             sorted(range(at), key=lambda i: (-_saturated(scores[i]), seen[i])), dtype=np.int64
