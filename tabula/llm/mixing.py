@@ -102,23 +102,22 @@ def thresholds(sized: DataFrame, targets: DataFrame, n_sources: int) -> DataFram
     return state.withColumn("edge_in", nearer & (F.col("rest") > 0)).withColumn("resolved", F.lit(resolved))
 
 
-def _sized(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).alias("source"),
-        word_count(F.col(text)).alias("size"),
+def _bounds(docs: DataFrame, doc_id: str, source: str, text: str, weights, share: float, most: float) -> tuple[DataFrame, DataFrame, int]:
+    """Every row's doc_id, source, size and place, from a table in which words are counted once; the sources' bounds;
+    and the number of sources."""
+    sized = kept(docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         place(F.col(doc_id), F.col(text)).alias("place"),
-    )
-
-
-def _decided(docs: DataFrame, doc_id: str, source: str, text: str, weights, share: float, most: float) -> DataFrame:
-    """Rows with `times`, how often the mix takes each: the few bounds of its source join every row where it is."""
-    rows = _sized(docs, doc_id, source, text)
-    sized = kept(rows.drop("row", "doc_id"), "mix-sizes")
+    ), "mix-sizes")
     sizes = kept(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     n_sources = sizes.count()
-    bounds = thresholds(sized, source_targets(sizes, weights, share, most), n_sources).withColumnRenamed("source", "s")
+    bounds = thresholds(sized.select("source", "size", "place"), source_targets(sizes, weights, share, most), n_sources)
+    return sized, bounds.withColumnRenamed("source", "s"), n_sources
+
+
+def _times(rows: DataFrame, bounds: DataFrame, n_sources: int) -> DataFrame:
+    """`rows` (source, place, and more) with `times`, how often the mix takes each: the few bounds of its source join
+    every row where it is."""
     joined = join_small(rows, bounds, F.col("source").eqNullSafe(F.col("s")), "inner", n_sources)
     prefix = F.expr(f"shiftright(place, {PLACE_BITS} - resolved)")
     once_more = (F.col("rest") > 0) & ((prefix < F.col("edge")) | ((prefix == F.col("edge")) & F.col("edge_in")))
@@ -142,7 +141,7 @@ def mix(
     taken where that brings the source nearer to its target. An empty table gives an empty result. Other columns,
     whatever their names, are not read.
     """
-    decided = _decided(docs, doc_id, source, text, weights, share, most)
+    decided = _times(*_bounds(docs, doc_id, source, text, weights, share, most))
     taken = (F.col("size") * F.col("times")).alias("taken")
     return decided.select("doc_id", "source", "size", "source_size", "target", taken)
 
@@ -157,5 +156,10 @@ def mixed(
     most: float = 2.0,
 ) -> DataFrame:
     """The rows of `docs` that the mix takes, each as often as it is taken. No text moves between tasks."""
-    decided = _decided(docs, doc_id, source, text, weights, share, most).filter("times > 0")
+    _, bounds, n_sources = _bounds(docs, doc_id, source, text, weights, share, most)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"),
+        place(F.col(doc_id), F.col(text)).alias("place"),
+    )
+    decided = _times(rows, bounds, n_sources).filter("times > 0")
     return decided.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("row.*")

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabula.llm.shared import join_small, kept, small_batches
 from tabula.operators.components import linked_components
@@ -150,7 +151,7 @@ def firsts(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
     """The rows of `docs` whose id is the smallest of its group in `found` (doc_id, component_id), one row for each id.
 
     Rows with equal ids count as one document, which goes if any of its rows is a copy of a document with a smaller
-    id. Rows without an id stay. The ids that go are broadcast where they were counted to be few; else texts are
+    id; of those of one that stays, the row of the smallest hash of its values is left. Rows without an id stay. The ids that go are broadcast where they were counted to be few; else texts are
     shuffled by id.
     """
     groups = kept(found, "simhash-groups").filter(F.col("doc_id").isNotNull())
@@ -159,7 +160,11 @@ def firsts(docs: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
     repeated = not groups.groupBy("doc_id").count().filter("count > 1").isEmpty()
     if not repeated:
         return staying
-    single = staying.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+    plain = [f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.dataType.typeName() != "variant"]
+    packed = staying.filter(F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("_id"), F.xxhash64(*plain).alias("_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    )
+    single = packed.groupBy("_id").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
     return single.unionByName(staying.filter(F.col(doc_id).isNull()))
 
 

@@ -1,11 +1,10 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams, each with an embedding. The embeddings of a passage are averaged, word by
-word, and classified by a linear softmax; both are trained jointly in numpy. Misspellings and inflections that were
-never seen share n-grams with what was seen. A text is cut into overlapping passages of equal length that cover all of
-it, and scored by its most toxic passage, so that a text of any length is judged by whole passages and an insult among
-thousands of clean words isn't averaged away. Training begins with whole texts as one bag each and goes on with the
-passage of each text that scores highest.
+A word is the bag of its character n-grams, each with an embedding. The words of the whole text are averaged and
+classified by a linear softmax; both are trained jointly in numpy. Misspellings and inflections that were never seen
+share n-grams with what was seen. The average is a weighted one: a word weighs the more, exponentially, the more it
+speaks for toxicity by itself, so that an insult among thousands of clean words isn't averaged away, and no word of a
+text is left out. As long as nothing is learned all words weigh alike.
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ from tabula.llm.shared import bounded_sample, held_out, learnable, small_batches
 
 #: Embeddings, their length, n-gram lengths.
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
-#: Words of a passage, and from the beginning of one to that of the next.
-PASSAGE, STEP = 16, 8
+#: Log odds that make a word weigh e times as much, and the weight below which a word isn't trained on in a step.
+TEMPERATURE, FAINT = 1.0, 0.01
 #: Share of n-grams left out at random in each training step, so that no n-gram stands for a word alone.
 DROPPED = 0.3
 #: Labelled documents of each class that training sees at most, each with its whole text.
@@ -54,11 +53,11 @@ def words_of(text: str | None) -> list[str]:
     return [w[at : at + PIECE] for w in found for at in range(0, max(1, len(w) - PIECE // 2), PIECE // 2)]
 
 
-def passage_begins(words: int) -> np.ndarray:
-    """First words of the passages of a text; the last passage ends with the text."""
-    if words <= PASSAGE:
-        return np.zeros(min(words, 1), dtype=np.int64)
-    return np.unique(np.r_[np.arange(0, words - PASSAGE, STEP), words - PASSAGE])
+def weighed(gains: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The weights, of sum 1 in each text, of words by their gains; texts begin at `first` and have `size` words."""
+    top = np.repeat(np.maximum.reduceat(gains, first), size)
+    grown = np.exp((gains - top) / TEMPERATURE)
+    return grown / np.repeat(np.add.reduceat(grown, first), size)
 
 
 class _WordScores(dict):
@@ -84,8 +83,8 @@ class SubwordModel:
     bias: float
 
     def scorer(self):
-        """A function from a text to the probability of label 1 of its most toxic passage; a text without words has
-        that of the bias alone. As the softmax is linear, a passage's log odds are the mean of its words' gains."""
+        """A function from a text to its probability of label 1; a text without words has that of the bias alone. As the
+        softmax is linear, a text's log odds are the weighted mean of its words' gains."""
         known = _WordScores(self.gain)
 
         def score(text: str | None) -> float:
@@ -93,9 +92,8 @@ class SubwordModel:
             odds = self.bias
             if words:
                 found = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-                begins, size = passage_begins(len(words)), min(PASSAGE, len(words))
-                sums = np.r_[0.0, np.cumsum(found)]
-                odds += float((sums[begins + size] - sums[begins]).max()) / size
+                grown = np.exp((found - found.max()) / TEMPERATURE)
+                odds += float(found @ grown / grown.sum())
             return float(1 / (1 + np.exp(-np.clip(odds, -30, 30))))
 
         return score
@@ -164,51 +162,39 @@ class Softmax:
 
 
 def train(texts: list[list[str]], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, rate: float = 0.3, seed: int = 0):
-    """Adagrad on the weighted cross entropy of whole texts, in the first epochs, and then of each text's most toxic
-    passage, beside which a copy with misspelt words is learned."""
+    """Adagrad on the weighted cross entropy of the texts, the weights of words being those at the beginning of an
+    epoch; beside each text a copy with misspelt words is learned."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], dtype=np.int64) for t in texts]
     names, n_words = list(vocabulary), len(vocabulary)
     bags = Bags.of(names + [_misspell(w, rng) for _ in range(VARIANTS) for w in names])
-    size = np.array([len(c) for c in coded])
-    start, flat = np.r_[0, np.cumsum(size)[:-1]], np.concatenate(coded)
-    cut = [passage_begins(n) for n in size]
-    passage = np.concatenate([c + s for c, s in zip(cut, start)])
-    first, length = np.r_[0, np.cumsum([len(c) for c in cut])[:-1]], np.minimum(size, PASSAGE)
-    length_of = np.repeat(length, [len(c) for c in cut])
+    size, flat = np.array([len(c) for c in coded]), np.concatenate(coded)
+    first = np.r_[0, np.cumsum(size)[:-1]]
+    text_of = np.repeat(np.arange(len(coded)), size)
     model = Softmax(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2))
     sq_embed, sq_out, sq_bias = np.full(BUCKETS, 1e-3), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
     share = weights / weights.mean()
-    epochs = max(epochs, -(-LEAST_STEPS // -(-len(coded) // MINIBATCH)))
-    warm = epochs // 5
-    for epoch in range(epochs):
-        whole = epoch < warm
-        if whole:
-            begin, many = start, size
-        else:
-            k, owner = bags.gather(np.arange(n_words))
-            word = np.bincount(owner, model.gain()[k], n_words) / bags.size[:n_words]
-            sums = np.r_[0.0, np.cumsum(word[flat])]
-            odds = (sums[passage + length_of] - sums[passage]) / length_of
-            top = np.repeat(np.maximum.reduceat(odds, first), np.diff(np.r_[first, len(odds)]))
-            at = np.minimum.reduceat(np.where(odds >= top, np.arange(len(odds)), len(odds)), first)
-            begin, many = passage[at], length
+    k, owner = bags.gather(np.arange(n_words))
+    for epoch in range(max(epochs, -(-LEAST_STEPS // -(-len(coded) // MINIBATCH)))):
+        gains = (np.bincount(owner, model.gain()[k], n_words) / bags.size[:n_words])[flat]
+        weight = weighed(gains, first, size)
+        at = np.flatnonzero(weight >= np.minimum(FAINT, 1 / size[text_of]) * (1 - 1e-9))
+        kept_of = text_of[at]
+        weight = weight[at] / np.bincount(kept_of, weight[at], len(coded))[kept_of]
+        begin = np.searchsorted(kept_of, np.arange(len(coded) + 1))
         order = rng.permutation(len(coded))
-        for at in range(0, len(order), MINIBATCH):
-            slots = order[at : at + MINIBATCH]
-            if not whole:
-                slots = np.r_[slots, slots]
-            row_of = np.repeat(np.arange(len(slots)), many[slots])
-            place = np.arange(len(row_of)) - np.repeat(np.cumsum(many[slots]) - many[slots], many[slots])
-            chosen = flat[begin[slots][row_of] + place]
-            if not whole:
-                bent = (row_of >= len(slots) // 2) & (rng.random(len(chosen)) < 0.5)
-                chosen = np.where(bent, chosen + n_words * rng.integers(1, VARIANTS + 1, len(chosen)), chosen)
-            k, owner = bags.gather(chosen)
-            row = row_of[owner]
-            part = (rng.random(len(k)) >= DROPPED) / (1 - DROPPED) / bags.size[chosen][owner] / many[slots][row]
-            touched, g, d_out, d_bias = model.slopes(k, row, part, labels[slots], share[slots])
+        for step in range(0, len(order), MINIBATCH):
+            slots = np.tile(order[step : step + MINIBATCH], 2)
+            many = begin[slots + 1] - begin[slots]
+            row_of = np.repeat(np.arange(len(slots)), many)
+            place = begin[slots][row_of] + np.arange(len(row_of)) - np.repeat(np.cumsum(many) - many, many)
+            chosen = flat[at[place]]
+            bent = (row_of >= len(slots) // 2) & (rng.random(len(chosen)) < 0.5)
+            chosen = np.where(bent, chosen + n_words * rng.integers(1, VARIANTS + 1, len(chosen)), chosen)
+            grams, word = bags.gather(chosen)
+            part = (rng.random(len(grams)) >= DROPPED) / (1 - DROPPED) * (weight[place] / bags.size[chosen])[word]
+            touched, g, d_out, d_bias = model.slopes(grams, row_of[word], part, labels[slots], share[slots])
             g = g * len(slots)
             sq_embed[touched] += (g**2).mean(1)
             model.embed[touched] -= rate * g / np.sqrt(sq_embed[touched])[:, None]

@@ -405,3 +405,26 @@ def test_near_duplicates_edges(spark):
     assert left.columns == df.columns
     ids = [r["doc_id"] for r in left.collect()]
     assert ids.count(3) == 1 and ids.count(None) == 1 and 5 not in ids and 9 not in ids and 8 in ids
+
+
+def test_near_duplicates_equal_brute_force_end_to_end(spark):
+    """Fingerprints, links and the smallest ids reached, from texts, against naive counterparts."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.choice([2, 40, 400, 900]))]
+        for _ in range(rng.randint(1, 6)):
+            words = list(base)
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+            texts.append(" ".join(words))
+    rows = [(1000 - n, t, "s") for n, t in enumerate(texts)] + [(5, None, "s"), (7, " \t", "s"), (1000, texts[0].upper(), "s")]
+    prints = [(i, brute_fingerprint(t)) for i, t, _ in rows]
+    label = {i: i for i, _ in prints}
+    for _ in rows:
+        for i, a in prints:
+            for j, b in prints:
+                if (a ^ b).bit_count() <= 2:
+                    label[i] = label[j] = min(label[i], label[j])
+    got = sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(docs(spark, rows)).collect())
+    assert got == sorted((i, f"{a:016x}", label[i]) for i, a in prints) and len(set(label.values())) < len(label) - 10
