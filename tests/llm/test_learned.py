@@ -161,18 +161,18 @@ def test_misspellings_share_vectors():
     assert score("river " * 300 + "horrible " + "stone paper " * 300) > 0.7
 
 
-def test_passages_cover_texts_and_scores_equal_brute_force():
+def test_scores_equal_brute_force_over_whole_texts():
     rng = np.random.default_rng(3)
     model = toxicity.SubwordModel(rng.normal(size=toxicity.BUCKETS).astype(np.float32), -0.5)
     score = model.scorer()
-    for size in [0, 1, 2, 15, 16, 17, 23, 24, 25, 40, 41, 300]:
+    for size in [0, 1, 2, 40, 3000]:
         words = [f"word{int(k)}" for k in rng.integers(0, 50, size)]
-        begins = toxicity.passage_begins(size)
-        covered = {b + k for b in begins.tolist() for k in range(min(size, toxicity.PASSAGE))}
-        assert covered == set(range(size)) and all(b - a <= toxicity.STEP for a, b in zip(begins, begins[1:]))
-        means = [np.mean([np.mean([model.gain[k] for k in toxicity.subwords(w)]) for w in words[b : b + toxicity.PASSAGE]]) for b in begins]
-        want = 1 / (1 + np.exp(-(model.bias + max(means, default=0.0))))
+        gains = [np.mean([model.gain[k] for k in toxicity.subwords(w)]) for w in words]
+        grown = np.exp(np.array(gains) / toxicity.TEMPERATURE)
+        want = 1 / (1 + np.exp(-(model.bias + (np.dot(gains, grown) / grown.sum() if words else 0.0))))
         assert score("  ".join(words).title() + "!") == pytest.approx(want, abs=1e-6)
+    weights = toxicity.weighed(np.array([1.0, 3.0, 2.0, 2.0, 2.0]), np.array([0, 2]), np.array([2, 3]))
+    assert weights.tolist() == pytest.approx([1 / (1 + np.e**2), np.e**2 / (1 + np.e**2), 1 / 3, 1 / 3, 1 / 3])
 
 
 def test_softmax_gradients_are_numeric_slopes():
