@@ -30,7 +30,7 @@ from tabula.llm.tokens import LETTER_BYTES, owners, word_hashes, word_spans
 #: distinct item words counted in one pass.
 BLOCK_WORDS, COUNTED_WORDS = 2_000_000, 4_000_000
 #: Edits per word of an item, sampled positions of a repetition, most repetitions, wanted recall.
-EDITS, SAMPLES, REPETITIONS, RECALL = 0.2, 3, 64, 0.98
+EDITS, SAMPLES, REPETITIONS, RECALL = 0.2, 3, 64, 0.99
 #: Bytes of text handled at once.
 GROUP = 1 << 21
 _TABLE_BITS = 22
