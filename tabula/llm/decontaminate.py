@@ -29,8 +29,9 @@ from tabula.llm.tokens import LETTER_BYTES, owners, word_hashes, word_spans
 #: Item words searched for in one pass over the texts (one item at least), about 25 bytes each in the broadcast, and
 #: distinct item words counted in one pass.
 BLOCK_WORDS, COUNTED_WORDS = 2_000_000, 4_000_000
-#: Edits per word of an item, sampled positions of a repetition, most repetitions, wanted recall.
-EDITS, SAMPLES, REPETITIONS, RECALL = 0.2, 3, 64, 0.99
+#: Edits per word of an item, sampled positions of a repetition, most repetitions, wanted recall, and by how much more
+#: repetitions are made than reached it on the edited copies.
+EDITS, SAMPLES, REPETITIONS, RECALL, MARGIN = 0.2, 3, 64, 0.99, 1.5
 #: Bytes of text handled at once.
 GROUP = 1 << 21
 _TABLE_BITS = 22
@@ -151,8 +152,8 @@ class ItemIndex:
         return found
 
     def enough_repetitions(self, trials: int = 400) -> int:
-        """The fewest repetitions with which RECALL of edited copies of items, with all edits that are allowed, are
-        found; 0, for no hashing at all, where REPETITIONS of them are too few."""
+        """MARGIN times the fewest repetitions with which RECALL of edited copies of items, with all edits that are
+        allowed, are found; 0, for no hashing at all, where REPETITIONS of them are too few."""
         rng = np.random.default_rng(7)
         busy = np.flatnonzero(self.size > 0)
         if not len(busy):
@@ -180,7 +181,7 @@ class ItemIndex:
         for repetitions in range(1, REPETITIONS + 1):
             hit = self.colliding(flat, *args, repetitions)
             if len(np.unique(owner[hit])) >= RECALL * trials:
-                return repetitions
+                return int(MARGIN * repetitions)
         return 0
 
 
