@@ -10,7 +10,8 @@ text is left out. As long as nothing is learned all words weigh alike.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -23,14 +24,15 @@ from tabula.llm.shared import bounded_sample, held_out, learnable, small_batches
 
 #: Embeddings, their length, n-gram lengths.
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
-#: Log odds that make a word weigh e times as much, and the weight below which a word isn't trained on in a step.
-TEMPERATURE, FAINT = 1.0, 0.01
+#: Log odds that make a word weigh e times as much; in training, the weight up to which a word is faint, and about how
+#: many of a text's faint words are drawn anew in each epoch.
+TEMPERATURE, FAINT, DRAWN = 1.0, 0.01, 128
 #: Share of n-grams left out at random in each training step, so that no n-gram stands for a word alone.
 DROPPED = 0.3
 #: Labelled documents of each class that training sees at most, each with its whole text.
-PER_CLASS = 4000
-#: Texts of a training step, the fewest steps, for few texts are learned in more epochs, and misspellings of a word.
-MINIBATCH, LEAST_STEPS, VARIANTS = 128, 400, 3
+PER_CLASS = 2000
+#: Texts of a training step, and the fewest steps, for few texts are learned in more epochs.
+MINIBATCH, LEAST_STEPS = 128, 400
 #: Word scores that a task keeps.
 CACHE = 400_000
 #: Letters of a run that are scored as one word.
@@ -123,17 +125,27 @@ class Bags:
     size: np.ndarray
 
     @classmethod
-    def of(cls, words: list[str]) -> Bags:
-        bags = [subwords(w) for w in words]
-        size = np.array([len(b) for b in bags], dtype=np.int64)
-        return cls(np.array([k for b in bags for k in b], dtype=np.int64), np.r_[0, np.cumsum(size)[:-1]], size)
+    def of(cls, words: Iterable[str]) -> Bags:
+        flat, size = array("i"), array("i")
+        for word in words:
+            bag = subwords(word)
+            flat.extend(bag)
+            size.append(len(bag))
+        sizes = np.array(size, dtype=np.int32)
+        return cls(np.array(flat, dtype=np.int32), np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
 
     def gather(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The embedding numbers of the chosen bags, and which of the chosen each belongs to."""
         size = self.size[chosen]
-        owner = np.repeat(np.arange(len(chosen)), size)
-        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return self.flat[self.first[chosen][owner] + inside], owner
+        owner = np.repeat(np.arange(len(chosen), dtype=np.int32), size)
+        ends = np.cumsum(size, dtype=np.int64)
+        at = np.repeat(self.first[chosen] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.flat[at], owner
+
+    def gains(self, gain: np.ndarray) -> np.ndarray:
+        """The mean gain of every bag."""
+        return np.add.reduceat(gain[self.flat], self.first) / self.size
 
 
 @dataclass
@@ -161,41 +173,50 @@ class Softmax:
         return self.embed @ (self.out[:, 1] - self.out[:, 0])
 
 
-def train(texts: list[list[str]], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, rate: float = 0.3, seed: int = 0):
+def train(texts: Iterable[list[str]], labels: np.ndarray, weights: np.ndarray, epochs: int = 10, rate: float = 0.3, seed: int = 0):
     """Adagrad on the weighted cross entropy of the texts, the weights of words being those at the beginning of an
-    epoch; beside each text a copy with misspelt words is learned."""
+    epoch. Of a text's faint words a random part stands for all, another one in each epoch. After the first epochs, a copy of each text in which words are misspelt anew is learned beside it."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], dtype=np.int64) for t in texts]
-    names, n_words = list(vocabulary), len(vocabulary)
-    bags = Bags.of(names + [_misspell(w, rng) for _ in range(VARIANTS) for w in names])
+    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], dtype=np.int32) for t in texts]
+    bags, names = Bags.of(vocabulary), list(vocabulary)
+    del vocabulary
     size, flat = np.array([len(c) for c in coded]), np.concatenate(coded)
-    first = np.r_[0, np.cumsum(size)[:-1]]
-    text_of = np.repeat(np.arange(len(coded)), size)
+    n_texts, first = len(coded), np.cumsum(size) - size
+    text_of = np.repeat(np.arange(n_texts, dtype=np.int32), size)
     model = Softmax(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2))
     sq_embed, sq_out, sq_bias = np.full(BUCKETS, 1e-3), np.full((DIM, 2), 1e-3), np.full(2, 1e-3)
     share = weights / weights.mean()
-    k, owner = bags.gather(np.arange(n_words))
-    for epoch in range(max(epochs, -(-LEAST_STEPS // -(-len(coded) // MINIBATCH)))):
-        gains = (np.bincount(owner, model.gain()[k], n_words) / bags.size[:n_words])[flat]
-        weight = weighed(gains, first, size)
-        at = np.flatnonzero(weight >= np.minimum(FAINT, 1 / size[text_of]) * (1 - 1e-9))
-        kept_of = text_of[at]
-        weight = weight[at] / np.bincount(kept_of, weight[at], len(coded))[kept_of]
-        begin = np.searchsorted(kept_of, np.arange(len(coded) + 1))
-        order = rng.permutation(len(coded))
-        for step in range(0, len(order), MINIBATCH):
-            slots = np.tile(order[step : step + MINIBATCH], 2)
+    epochs = max(epochs, -(-LEAST_STEPS // -(-n_texts // MINIBATCH)))
+    for epoch in range(epochs):
+        weight = weighed(bags.gains(model.gain().astype(np.float32))[flat], first, size)
+        at = np.flatnonzero((weight > FAINT) | (rng.random(len(weight)) * size[text_of] < DRAWN))
+        kept_of, kept = text_of[at], flat[at]
+        weight = weight[at] / np.bincount(kept_of, weight[at], n_texts)[kept_of]
+        begin = np.searchsorted(kept_of, np.arange(n_texts + 1))
+        copies = 1 if epoch < epochs // 5 else 2
+        if copies == 2:
+            used, bent = np.unique(kept, return_inverse=True)
+            spelled = Bags.of(_misspell(names[w], rng) for w in used)
+        order = rng.permutation(n_texts)
+        for step in range(0, n_texts, MINIBATCH):
+            grams, rows, parts = [], [], []
+            slots = order[step : step + MINIBATCH]
             many = begin[slots + 1] - begin[slots]
-            row_of = np.repeat(np.arange(len(slots)), many)
-            place = begin[slots][row_of] + np.arange(len(row_of)) - np.repeat(np.cumsum(many) - many, many)
-            chosen = flat[at[place]]
-            bent = (row_of >= len(slots) // 2) & (rng.random(len(chosen)) < 0.5)
-            chosen = np.where(bent, chosen + n_words * rng.integers(1, VARIANTS + 1, len(chosen)), chosen)
-            grams, word = bags.gather(chosen)
-            part = (rng.random(len(grams)) >= DROPPED) / (1 - DROPPED) * (weight[place] / bags.size[chosen])[word]
-            touched, g, d_out, d_bias = model.slopes(grams, row_of[word], part, labels[slots], share[slots])
-            g = g * len(slots)
+            row = np.repeat(np.arange(len(slots)), many)
+            place = begin[slots][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            for copy in range(copies):
+                changed = rng.random(len(place)) < (0.5 if copy else 0.0)
+                for source, words, own in ((bags, kept, ~changed), *([(spelled, bent, changed)] if copy else [])):
+                    k, word = source.gather(words[place[own]])
+                    grams.append(k)
+                    rows.append(row[own][word] + copy * len(slots))
+                    parts.append((weight[place[own]] / source.size[words[place[own]]])[word])
+            k, part = np.concatenate(grams), np.concatenate(parts)
+            part = part * (rng.random(len(k)) >= DROPPED) / (1 - DROPPED)
+            both = np.tile(slots, copies)
+            touched, g, d_out, d_bias = model.slopes(k, np.concatenate(rows), part, labels[both], share[both])
+            g = g * len(both)
             sq_embed[touched] += (g**2).mean(1)
             model.embed[touched] -= rate * g / np.sqrt(sq_embed[touched])[:, None]
             sq_out += d_out**2
@@ -237,7 +258,7 @@ def fit(
     y = np.array([y for _, y, _ in found])
     seen = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weights = np.where(y == 1, shares.get(1, 0) / seen[1], shares.get(0, 0) / seen[0])
-    return train([w.split() for _, _, w in found], y, weights)
+    return train((w.split() for _, _, w in found), y, weights)
 
 
 def scored(docs: DataFrame, model: SubwordModel | None, text: str = "text") -> DataFrame:
