@@ -82,6 +82,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch_mark(spark: SparkSession) -> int:
+    """A place in the list of scratch tables, for `release`."""
+    return len(_SCRATCH.setdefault(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, mark: int) -> None:
+    """Delete the scratch tables named since `mark`. What still reads them, being lazy, can't be computed afterwards."""
+    paths = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    for path in paths[mark:]:
+        drop_path(spark, path)
+    del paths[mark:]
+
+
 def sweep(spark: SparkSession) -> int:
     """Delete the scratch tables that this application wrote, and return how many. Results that still read them, which
     are lazy, can't be computed afterwards: call it when the results are stored."""

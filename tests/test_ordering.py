@@ -167,3 +167,15 @@ def test_scratch_tables_are_swept(spark):
     folder = os.path.dirname(path)
     assert left.count() == 3 and any(n.startswith("swept-") for n in os.listdir(folder))
     assert sweep(spark) >= 2 and not any(n.startswith("swept-") for n in os.listdir(folder)) and sweep(spark) == 0
+
+
+def test_release_deletes_only_what_came_after_the_mark(spark):
+    from tabula.session import kept, release, scratch_mark
+
+    before = kept(spark.range(3), "before")
+    mark = scratch_mark(spark)
+    after = kept(spark.range(4), "after")
+    release(spark, mark)
+    assert before.count() == 3
+    with pytest.raises(Exception):
+        after.count()
